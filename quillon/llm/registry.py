@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import quality
+from quillon.llm import licenses, mixing, quality, sharding
 
-_MODULES = (quality,)
+_MODULES = (sharding, mixing, quality, licenses)
 
 
 def queries() -> dict:
