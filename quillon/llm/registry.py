@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import licenses, mixing, quality, sharding
+from quillon.llm import licenses, mixing, packing, quality, sharding
 
-_MODULES = (sharding, mixing, quality, licenses)
+_MODULES = (sharding, mixing, packing, quality, licenses)
 
 
 def queries() -> dict:
