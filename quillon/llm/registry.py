@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import licenses, mixing, near_dedup, packing, quality, sharding
+from quillon.llm import licenses, mixing, near_dedup, packing, quality, sharding, suffix_dedup
 
-_MODULES = (sharding, near_dedup, mixing, packing, quality, licenses)
+_MODULES = (sharding, near_dedup, suffix_dedup, mixing, packing, quality, licenses)
 
 
 def queries() -> dict:
