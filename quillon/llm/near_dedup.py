@@ -4,9 +4,9 @@
    signature a minimum, and a digest of its words. Texts with equal words are one class, spoken for by its smallest id.
 2. Classes that share a band's hash form a bucket. Every member is held against the bucket's smallest id: a signature too far
    off ends it, else the full sets decide. Confirmed links give components.
-3. A bucket whose members are then of several components may hide links between members. Pairs over components are checked in
-   full, save those that counting proves apart: shingles that no other text in question has cannot be shared, so that with
-   u such among n, J(x, y) <= m / (nx + ny - m) where m = min(nx - ux, ny - uy). A large group of copies so gives no square.
+3. A bucket whose members are then of several components may hide links between members. All pairs of such texts over
+   components are sought by exact prefix and position filters on their shingles, and what passes is checked like before. So a
+   large group of copies gives no square of pairs, and no link between its members is lost.
 4. Components of all links, then each class's rows.
 
 With 28 bands of 5 minima a pair at similarity 0.85 is missed by all bands with probability 7e-8, at 0.80 with 1.5e-5. The signature check lets
@@ -147,8 +147,8 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     return pairs.join(side("b", "b"), "b").join(side("a", "a"), "a").select("a", "b", "sa", "sb", "ta", "tb").mapInArrow(held, "a long, b long")
 
 
-def lone_shingles(texts: DataFrame, k: int) -> DataFrame:
-    """(node, u): how many shingles of each text no other of these texts has, where there are any. Equal hashes only lower u."""
+def shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(node, h): the distinct shingle hashes of each text. Equal hashes can only add candidates, never lose one."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()
@@ -160,9 +160,34 @@ def lone_shingles(texts: DataFrame, k: int) -> DataFrame:
                 h = shingle_hashes(split_words(text[i].as_py()), k, memo)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x)), pa.array(h.view(np.int64))], names=["node", "h"])
 
-    spread = texts.select("node", "text").mapInArrow(each, "node long, h long")
-    once = spread.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    return once.groupBy("node").agg(F.count("*").alias("u"))
+    return texts.select("node", "text").mapInArrow(each, "node long, h long")
+
+
+def pairs_over_components(texts: DataFrame, component: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b) of all texts of different components that may be linked: exact prefix and position filters on their shingles.
+
+    Each text's shingles are put in one order, the rarest among these texts first. Linked texts share a shingle so far ahead in
+    both that the rest, had it all in common, would reach the threshold. What sets a text apart from a large group of copies
+    is rare and comes first, so that its pairs with the group fail by position, before they are made.
+    """
+    every = materialise(shingles(texts, k), "shingles")
+    total = every.count()
+    count = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    common = join_groups(every, count, ["h"], "c", total, F.col("node"))
+    ordered = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))  # of one text
+    n = F.col("n_shingles")
+    prefix = n - F.ceil(n * num / den) + 1
+    alone = n - F.size("s")  # shingles of no other text come before the others
+    first = F.slice("s", 1, F.greatest(prefix - alone, F.lit(0)).cast("int"))
+    placed = texts.select("node", "n_shingles").join(ordered, "node").join(component, "node").select("node", "component", n.alias("n"), alone.alias("alone"), F.posexplode(first).alias("at", "e"))
+    placed = materialise(placed.select("node", "component", "n", F.col("e.h").alias("h"), (F.col("alone") + F.col("at") + 1).alias("place")), "prefixes")
+    mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low != high").drop("high")
+    rows = materialise(join_groups(placed, mixed, ["h"], "c", placed.count(), F.col("node")).drop("c"), "mixed")
+    # A pair over components has a side outside the lowest one.
+    x, y = rows.where("component != low").alias("x"), rows.alias("y")
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
+    on = (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & (rest * (num + den) >= (F.col("x.n") + F.col("y.n")) * num)
+    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,20 +214,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     known = materialise(components(links), "known")
     of = shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("first", "n")
     mixed = of.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low != high")
-    open_rows = materialise(join_groups(of, mixed.drop("low", "high"), ["band", "hash"], "n", BANDS * total, F.col("node")).drop("n"), "open")
-    open_texts = texts.join(open_rows.select("node").distinct(), "node", "left_semi")
-    sized = texts.select("node", F.col("n_shingles").alias("n")).join(lone_shingles(open_texts, k), "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    rows = materialise(open_rows.join(sized, "node"), "rows")
-    smallest = rows.groupBy("band", "hash").agg(F.min("n").alias("least"), F.count("*").alias("size"))
-    able = (F.col("n") - F.col("u")) * (num + den) >= (F.col("n") + F.col("least")) * num
-    rows = materialise(join_groups(rows, smallest, ["band", "hash"], "size", BANDS * total, F.col("node")).where(able).drop("least", "size"), "able")
-    x, y = rows.alias("x"), rows.alias("y")
-    common = F.least(F.col("x.n") - F.col("x.u"), F.col("y.n") - F.col("y.u"))
-    on = (
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-        & (common * (num + den) >= (F.col("x.n") + F.col("y.n")) * num)
-    )
-    more = x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    open_nodes = materialise(join_groups(of, mixed.drop("low", "high"), ["band", "hash"], "n", BANDS * total, F.col("node")).select("node", "component").distinct(), "open")
+    more = pairs_over_components(texts.join(open_nodes, "node", "left_semi"), open_nodes, k, num, den)
     final = components(links.union(materialise(verify(more, texts, k, num, den), "more")))
 
     labels = materialise(final, "labels")

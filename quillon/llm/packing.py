@@ -13,6 +13,8 @@ besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -20,14 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.llm.common import materialise, table
 
-#: Words shorter than this are remembered with their ids, so many at once in each worker; memory only, never the result.
-MEMO_CHARS, MEMO_WORDS = 48, 400_000
+#: Words remembered with their ids in each worker; memory only, never the result.
+MEMO_WORDS = 700_000
+#: Documents, and bytes of text unless one alone has more, encoded at a time.
+BATCH, BATCH_BYTES = 1024, 4_000_000
 #: Buckets of a length: at least, at most, and rows for another one.
 BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 64, 4096, 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -39,56 +44,112 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write bytes as letters: printable ones stand for themselves, the others follow from U+0100."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {byte: 256 + i for i, byte in enumerate(x for x in range(256) if x not in own)}
+
+
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space and never joins over it, so that words can be encoded apart and remembered."""
+    """Ids of texts by the tokenizer of word_bpe_49k.json: NFC, lower case, pre-tokens, byte-level BPE with word ends.
+
+    White space bounds pre-tokens, so that words are encoded apart and each distinct one once, and remembered with its ids. That
+    holds for texts of letters on whose case, class and normal form all versions of Unicode agree (PLAIN); other texts, and those
+    with a special token's string, go to the tokenizer as a whole.
+    """
+
+    PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\u02ff\u0400-\u0482\u048a-\u052f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        own = json.loads(self.tokenizer.to_str())
+        splits = own["pre_tokenizer"]["pretokenizers"]
+        if [x["type"] for x in own["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in splits] != ["Split", "ByteLevel"]:
+            raise ValueError(f"{path} splits texts in another way")
+        self.pretokens = regex.compile(splits[0]["pattern"]["Regex"]).findall
+        self.tokenize = self.tokenizer.model.tokenize
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        self.words = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
-        self.known: dict[str, int] = {}
-        self.start, self.flat = [0], []  # ids of word k: flat[start[k]:start[k + 1]]
-
-    def learn(self, words: list[str]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self.known[word] = len(self.start) - 1
-            self.flat.extend(e.ids)
-            self.start.append(len(self.flat))
+        self.letters = byte_letters()
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.known: dict[str, list[int]] = {}  # ids of a pre-token
+        self.start, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)  # ids of word k: flat[start[k]:start[k + 1]]
+
+    def ids(self, pretoken: str) -> list[int]:
+        found = self.known.get(pretoken)
+        if found is None:
+            letters = pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(self.letters)
+            found = self.known[pretoken] = [t.id for t in self.tokenize(letters)]
+        return found
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each word; new ones are encoded."""
+        flat, ends, known = [], [], self.words
+        for w in words:
+            if w not in known:
+                known[w] = len(known)
+                if w.isalpha():  # one run of letters
+                    flat += self.ids(w)
+                elif w[:-1].isalpha() and w[-1] in ".,":
+                    flat += self.ids(w[:-1])
+                    flat += self.ids(w[-1])
+                else:
+                    for p in self.pretokens(w):
+                        flat += self.ids(p)
+                ends.append(len(flat))
+        if ends:
+            self.start = np.concatenate([self.start, np.asarray(ends, np.int64) + len(self.flat)])
+            self.flat = np.concatenate([self.flat, np.asarray(flat, np.uint32)])
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text."""
-        if len(self.known) > MEMO_WORDS:
-            self.known, self.start, self.flat = {}, [0], []
-        split = [None if t and self.special.search(t) else self.words(t or "") for t in texts]
-        fresh: set[str] = set()
-        for w in split:
-            if w:
-                fresh.update(w)
-        long = {w for w in fresh if len(w) > MEMO_CHARS}
-        self.learn([w for w in fresh if w not in self.known and w not in long])
-        start, flat = np.asarray(self.start), np.asarray(self.flat, dtype=np.uint32)
-        for text, w in zip(texts, split, strict=True):
-            if w is None or (long and not long.isdisjoint(w)):
-                yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-                continue
-            k = np.fromiter(map(self.known.__getitem__, w), dtype=np.int64, count=len(w))
-            n = start[k + 1] - start[k]
-            shift = np.repeat(start[k] - (np.cumsum(n) - n), n)
-            yield flat[shift + np.arange(len(shift))]
+        """Ids of each text. Distinct words are found by Arrow for all the texts together."""
+        if len(self.words) > MEMO_WORDS:
+            self.forget()
+        plain = [not t or (self.PLAIN.fullmatch(t) is not None and not self.special.search(t)) for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([t.lower() if t and p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        k = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        n = self.start[k + 1] - self.start[k]
+        end = np.concatenate([[0], np.cumsum(n)])
+        all_ids = self.flat[np.repeat(self.start[k] - end[:-1], n) + np.arange(end[-1])]
+        bounds = end[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for i, text in enumerate(texts):
+            yield all_ids[bounds[i] : bounds[i + 1]] if plain[i] else np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One in each worker process, whose tasks share what it remembers."""
+    return Encoder(path)
+
+
+def slices(batch: pa.RecordBatch, text: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most BATCH rows and, if of several rows, BATCH_BYTES of text."""
+    sizes, at, total = pc.fill_null(pc.binary_length(text), 0).to_numpy(), 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and (total + n > BATCH_BYTES or i - at == BATCH):
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if len(sizes) > at:
+        yield batch.slice(at)
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of each document's ids, end mark included; with_ids adds the ids themselves."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, batch.column(1)):
                 doc, piece, start, length, crc, out = [], [], [], [], [], []
-                for d, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for d, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for p, s in enumerate(range(0, len(ids), size)):
                         own = ids[s : s + size]

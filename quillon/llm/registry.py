@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import licenses, mixing, near_dedup, packing, quality, sharding, suffix_dedup
+from quillon.llm import licenses, mixing, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, topk, warc
 
-_MODULES = (sharding, near_dedup, suffix_dedup, mixing, packing, quality, licenses)
+_MODULES = (sharding, near_dedup, suffix_dedup, topk, warc, token_counts, mixing, packing, quality, licenses)
 
 
 def queries() -> dict:
