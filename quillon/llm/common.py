@@ -55,14 +55,15 @@ def discard(df: DataFrame) -> None:
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, total: int, spread: Column, how: str = "inner") -> DataFrame:
     """Join rows to one record a group (column `size`: its rows) where one key may hold any share of the rows.
 
-    Keys of more than total / HOT_SHARE rows are fewer than HOT_SHARE, so that broadcasting them is bounded; their rows
-    are dealt over SALTS parts by `spread` and their record is repeated in each part. All other keys join as they are.
+    Keys of more than total / HOT_SHARE rows are fewer than HOT_SHARE; the driver learns their hashes alone. Their rows are dealt over
+    SALTS parts by `spread` and their record is repeated in each part. All other keys join as they are.
     """
-    hot = F.col(size) * HOT_SHARE > F.lit(total)
-    marks = F.broadcast(groups.where(hot).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot")))
-    same = [F.col(k) == F.col(f"_h_{k}") for k in keys]
-    on = same[0] if len(same) == 1 else same[0] & same[1]
-    left = rows.join(marks, on, "left").drop(*[f"_h_{k}" for k in keys])
-    left = left.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("_hot")
+    groups = materialise(groups, "groups")
+    of = F.xxhash64(*keys)
+    hashes = [r[0] for r in groups.where(F.col(size) * HOT_SHARE > F.lit(total)).select(of).distinct().collect()]
+    if not hashes:
+        return rows.join(groups, list(keys), how)
+    hot = of.isin(hashes)
+    left = rows.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
     right = groups.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -36,6 +36,8 @@ SIGMAS = 6
 #: Words remembered with their hash in a worker.
 MEMO_WORDS = 400_000
 BLOCK = 8192
+#: Cells of the sketch of shingle frequencies.
+CELLS = 1 << 20
 
 
 class _Memo(dict):
@@ -147,40 +149,60 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     return pairs.join(side("b", "b"), "b").join(side("a", "a"), "a").select("a", "b", "sa", "sb", "ta", "tb").mapInArrow(held, "a long, b long")
 
 
-def shingles(texts: DataFrame, k: int) -> DataFrame:
-    """(node, h): the distinct shingle hashes of each text. Equal hashes can only add candidates, never lose one."""
+def frequencies(texts: DataFrame, k: int) -> np.ndarray:
+    """How many shingles of the texts fall into each of CELLS cells: a sketch of their frequencies, of fixed size."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, cells = _Memo(), np.zeros(CELLS, np.int64)
+        for batch in batches:
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            text = batch.column("text")
+            for i in range(batch.num_rows):
+                h = shingle_hashes(split_words(text[i].as_py()), k, memo)
+                np.add.at(cells, (h % np.uint64(CELLS)).astype(np.int64), 1)
+        own = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(cells[own])], names=["cell", "n"])
+
+    sums = texts.select("text").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def prefixes(texts: DataFrame, often: np.ndarray, k: int, num: int, den: int) -> DataFrame:
+    """(node, n, h, place): of each text's shingles in the one order, rare cells first, those that a linked text must share one of."""
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()
         for batch in batches:
             if len(memo) > MEMO_WORDS:
                 memo.clear()
-            node, text = batch.column("node").to_pylist(), batch.column("text")
+            node, text, out = batch.column("node").to_pylist(), batch.column("text"), [[], [], [], []]
             for i, x in enumerate(node):
                 h = shingle_hashes(split_words(text[i].as_py()), k, memo)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x)), pa.array(h.view(np.int64))], names=["node", "h"])
+                count = shared.value[(h % np.uint64(CELLS)).astype(np.int64)]
+                length = len(h) - -(-len(h) * num // den) + 1
+                o = np.lexsort((h, count))[:length]
+                place = np.arange(1, len(o) + 1)
+                some = count[o] > 1  # a cell of one shingle has no other text's
+                for column, values in zip(out, (np.full(int(some.sum()), x), np.full(int(some.sum()), len(h)), h[o][some].view(np.int64), place[some]), strict=True):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) if c else pa.array([], pa.int64()) for c in out], names=["node", "n", "h", "place"])
 
-    return texts.select("node", "text").mapInArrow(each, "node long, h long")
+    return texts.select("node", "text").mapInArrow(first, "node long, n long, h long, place long")
 
 
 def pairs_over_components(texts: DataFrame, component: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b) of all texts of different components that may be linked: exact prefix and position filters on their shingles.
 
-    Each text's shingles are put in one order, the rarest among these texts first. Linked texts share a shingle so far ahead in
-    both that the rest, had it all in common, would reach the threshold. What sets a text apart from a large group of copies
-    is rare and comes first, so that its pairs with the group fail by position, before they are made.
+    Each text's shingles are put in one order, rare ones first. Linked texts share a shingle so far ahead in both that the rest, had
+    it all in common, would reach the threshold. What sets a text apart from a large group of copies is rare and comes first,
+    so that its pairs with the group fail by position, before they are made. Any order loses no link; the sketch only makes a good one.
     """
-    every = materialise(shingles(texts, k), "shingles")
-    total = every.count()
-    count = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    common = join_groups(every, count, ["h"], "c", total, F.col("node"))
-    ordered = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))  # of one text
-    n = F.col("n_shingles")
-    prefix = n - F.ceil(n * num / den) + 1
-    alone = n - F.size("s")  # shingles of no other text come before the others
-    first = F.slice("s", 1, F.greatest(prefix - alone, F.lit(0)).cast("int"))
-    placed = texts.select("node", "n_shingles").join(ordered, "node").join(component, "node").select("node", "component", n.alias("n"), alone.alias("alone"), F.posexplode(first).alias("at", "e"))
-    placed = materialise(placed.select("node", "component", "n", F.col("e.h").alias("h"), (F.col("alone") + F.col("at") + 1).alias("place")), "prefixes")
+    first = prefixes(texts, frequencies(texts, k), k, num, den)
+    placed = materialise(first.join(component, "node"), "prefixes")
     mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low != high").drop("high")
     rows = materialise(join_groups(placed, mixed, ["h"], "c", placed.count(), F.col("node")).drop("c"), "mixed")
     # A pair over components has a side outside the lowest one.

@@ -40,7 +40,7 @@ BLOCK = 1 << 15
 #: Units gathered in a task before equal ones among them are reduced.
 FLUSH = 400_000
 #: Texts of an anchor up to which they are indexed together; and bytes of texts indexed at a time.
-SPLIT, INDEX_BYTES = 256, 1 << 17
+SPLIT, INDEX_BYTES = 1024, 1 << 17
 NO_ID = (1 << 63) - 1
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 
@@ -291,25 +291,25 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
 
 
 def variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, many, doc, lo, part) of the wanted units (anchor, many, doc, lo, hi): their bytes."""
+    """(anchor, n, doc, lo, part) of the wanted units (anchor, n, doc, lo, hi): their bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                anchor, many, doc, lo, part = [], [], [], [], []
+                anchor, n, doc, lo, part = [], [], [], [], []
                 for i, b in _texts(some):
                     d = some.column(0)[i].as_py()
                     for u in some.column(2)[i].as_py():
                         anchor.append(u["anchor"])
-                        many.append(u["many"])
+                        n.append(u["n"])
                         doc.append(d)
                         lo.append(u["lo"])
                         part.append(b[u["lo"] : u["hi"]])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(many, pa.bool_()), pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(part, pa.binary())], names=["anchor", "many", "doc", "lo", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(part, pa.binary())], names=["anchor", "n", "doc", "lo", "part"])
 
-    each = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "many", "lo", "hi")).alias("units"))  # of one document
-    return docs.withColumnRenamed("doc_id", "doc").join(each, "doc").select("doc", "text", "units").mapInArrow(cut, "anchor long, many boolean, doc long, lo int, part binary")
+    each = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "n", "lo", "hi")).alias("units"))  # of one document
+    return docs.withColumnRenamed("doc_id", "doc").join(each, "doc").select("doc", "text", "units").mapInArrow(cut, "anchor long, n long, doc long, lo int, part binary")
 
 
 SPANS = "doc long, lo int, hi int"
@@ -319,7 +319,7 @@ def index_variants(parts: DataFrame, length: int) -> DataFrame:
     """SPANS of repeated windows among the texts of each anchor, several anchors to an index."""
 
     def spans(own: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        own.sort(key=lambda x: x[:2])  # so that places in the index are in the order of the input
+        own = sorted(set(own))  # repeated rows once; places in the index are then in the order of the input
         at = repeats([x[2] for x in own], length)
         sizes = np.array([len(x[2]) + 1 for x in own], np.int64)
         ends = np.cumsum(sizes)
@@ -345,9 +345,27 @@ def index_variants(parts: DataFrame, length: int) -> DataFrame:
 
 
 def split_variants(parts: DataFrame, length: int) -> DataFrame:
-    """SPANS of the repeated windows among units of anchors with many texts: a row for each window, pre-aggregated by its digest."""
+    """SPANS of the repeated windows among units of anchors with many texts, a row for each window.
+
+    The units of an anchor are dealt over buckets of about SPLIT. Equal windows of a bucket are reduced to the earliest, so that
+    of a window that all units have, one row a bucket remains to be compared over the buckets.
+    """
+
+    def reduced(own: list[tuple]) -> pa.RecordBatch:
+        one, two, doc, lo = (np.concatenate(x) for x in zip(*own, strict=True))
+        o = np.lexsort((lo, doc, two, one))
+        one, two, doc, lo = one[o], two[o], doc[o], lo[o]
+        first = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        head = np.flatnonzero(first)[np.cumsum(first) - 1]
+        again = ~first & ((doc != doc[head]) | (lo != lo[head]))
+        d, a, b = _spans(doc[again], lo[again], lo[again] + length)
+        z = np.zeros(len(d), np.int64)
+        columns = [np.concatenate(x) for x in ((np.ones(len(d), bool), np.zeros(int(first.sum()), bool)), (z, one[first].view(np.int64)), (z, two[first].view(np.int64)), (d, doc[first]), (a, lo[first]), (b, lo[first] + length))]
+        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["repeat", "w1", "w2", "doc", "lo", "hi"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = [], 0
         for batch in batches:
             for doc, lo, part in zip(*(batch.column(c).to_pylist() for c in ("doc", "lo", "part")), strict=True):
                 h = gram_hashes(np.frombuffer(part, np.uint8))
@@ -355,12 +373,21 @@ def split_variants(parts: DataFrame, length: int) -> DataFrame:
                 one = two = np.zeros(len(s), np.uint64)
                 for i, q in enumerate((s, s + GRAM, s + 2 * GRAM, s + length - GRAM)):
                     one, two = _mix(one + h[q] * _ODD[i]), _mix(two ^ (h[q] * _ODD[i + 4]))
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(s), doc)), pa.array((s + lo).astype(np.int32))], names=["w1", "w2", "doc", "lo"])
+                own.append((one, two, np.full(len(s), doc, np.int64), s + lo))
+                size += len(s)
+                if size >= FLUSH:
+                    yield reduced(own)
+                    own, size = [], 0
+        if own:
+            yield reduced(own)
 
-    every = materialise(parts.mapInArrow(windows, "w1 long, w2 long, doc long, lo int"), "windows")
-    first = every.groupBy("w1", "w2").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = join_groups(every, first, ["w1", "w2"], "n", every.count(), F.col("lo") + F.col("doc")).where("doc != first.doc OR lo != first.lo")
-    return again.select("doc", "lo", (F.col("lo") + length).cast("int").alias("hi"))
+    bucket = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / SPLIT))
+    dealt = parts.withColumn("bucket", bucket).repartition("anchor", "bucket").sortWithinPartitions("anchor", "bucket")
+    every = materialise(dealt.mapInArrow(windows, "repeat boolean, w1 long, w2 long, doc long, lo int, hi int"), "windows")
+    rows = every.where("NOT repeat").drop("repeat")
+    first = rows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = join_groups(rows, first, ["w1", "w2"], "n", rows.count(), F.col("lo") + F.col("doc")).where("doc != first.doc OR lo != first.lo")
+    return every.where("repeat").select("doc", "lo", "hi").union(again.select("doc", "lo", "hi"))
 
 
 def without(data: bytes, spans) -> tuple[bytes, int]:
@@ -421,11 +448,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     several = reduced.where("NOT repeat")
     total = several.count()
     sizes = several.groupBy("anchor").agg(F.count("*").alias("n"))
-    wanted = join_groups(several, sizes, ["anchor"], "n", total, F.col("doc")).withColumn("many", F.col("n") > SPLIT)
+    wanted = join_groups(several, sizes, ["anchor"], "n", total, F.col("doc"))
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    parts = materialise(variants(keyed, wanted.select("anchor", "many", "doc", "lo", "hi")), "variants")
-    indexed = index_variants(parts.where("NOT many"), length)
-    split = split_variants(parts.where("many"), length)
+    parts = materialise(variants(keyed, wanted.select("anchor", "n", "doc", "lo", "hi")), "variants")
+    indexed = index_variants(parts.where(F.col("n") <= SPLIT), length)
+    split = split_variants(parts.where(F.col("n") > SPLIT), length)
     return again.union(materialise(indexed, "indexed")).union(split)
 
 
