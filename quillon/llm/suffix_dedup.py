@@ -10,7 +10,7 @@ the window stands. Consecutive windows with one anchor are a unit: their common
 3. Anchors with several texts (edges and variants of passages): the texts are concatenated, sorted to a suffix array and
    transformed. Common prefixes follow by increasing value: backward extension turns each boundary between intervals at prefix
    value v into the boundaries at v + 1, breadth first, and stops at `length`. Rows with no boundary between them start with the
-   same window; all but the earliest are repeats. Anchors with more than SPLIT texts are split by window instead of gathered.
+   same window; all but the earliest are repeats. Anchors with more than SPLIT texts are split by blocks and windows, not gathered.
 4. The spans of each document are merged and cut.
 
 Texts are UTF-8, so byte 0xFF never occurs in them and separates texts. Equal units are told by two 64-bit hashes (128 bits);
@@ -41,6 +41,8 @@ BLOCK = 1 << 15
 FLUSH = 400_000
 #: Texts of an anchor up to which they are indexed together; and bytes of texts indexed at a time.
 SPLIT, INDEX_BYTES = 1024, 1 << 17
+#: Window starts of a block of a unit whose anchor has more than SPLIT texts; what rows of such blocks, windows and spans are.
+STEP, BLOCK_ROW, WINDOW, SPAN = 8, 2, 1, 0
 NO_ID = (1 << 63) - 1
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 
@@ -345,14 +347,32 @@ def index_variants(parts: DataFrame, length: int) -> DataFrame:
 
 
 def split_variants(parts: DataFrame, length: int) -> DataFrame:
-    """SPANS of the repeated windows among units of anchors with many texts, a row for each window.
+    """SPANS of the repeated windows among units of anchors with many texts.
 
-    The units of an anchor are dealt over buckets of about SPLIT. Equal windows of a bucket are reduced to the earliest, so that
-    of a window that all units have, one row a bucket remains to be compared over the buckets.
+    The units of an anchor are dealt over buckets of about SPLIT and looked at by blocks: the windows of a unit that start in the
+    same STEP bytes, counted from its anchor. All windows of a block hold its core, length - STEP + 1 bytes. A block whose core no
+    other unit has holds no repeat: it leaves its bucket as one row, and only if another bucket has its core as well are its windows
+    made. Windows of the other blocks are reduced to the earliest of equal ones in the bucket, so that of a window that all units
+    have, one row a bucket remains to be compared over the buckets.
     """
-
-    def reduced(own: list[tuple]) -> pa.RecordBatch:
-        one, two, doc, lo = (np.concatenate(x) for x in zip(*own, strict=True))
+    core = length - STEP + 1
+
+    def hashed(part: bytes) -> tuple[np.ndarray, ...]:
+        h = gram_hashes(np.frombuffer(part, np.uint8))
+        s = np.arange(len(part) - length + 1)
+        one = two = np.zeros(len(s), np.uint64)
+        for i, q in enumerate((s, s + GRAM, s + 2 * GRAM, s + length - GRAM)):
+            one, two = _mix(one + h[q] * _ODD[i]), _mix(two ^ (h[q] * _ODD[i + 4]))
+        return h, s, one, two
+
+    def rows(kind: int, w1, w2, doc, lo, hi, part=None) -> pa.RecordBatch:
+        kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        columns = (np.full(len(doc), kind), w1, w2, doc, lo, hi, part or [None] * len(doc))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "w1", "w2", "doc", "lo", "hi", "part"])
+
+    def reduced(one, two, doc, lo) -> Iterator[pa.RecordBatch]:
+        if not len(one):
+            return
         o = np.lexsort((lo, doc, two, one))
         one, two, doc, lo = one[o], two[o], doc[o], lo[o]
         first = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
@@ -360,34 +380,68 @@ def split_variants(parts: DataFrame, length: int) -> DataFrame:
         again = ~first & ((doc != doc[head]) | (lo != lo[head]))
         d, a, b = _spans(doc[again], lo[again], lo[again] + length)
         z = np.zeros(len(d), np.int64)
-        columns = [np.concatenate(x) for x in ((np.ones(len(d), bool), np.zeros(int(first.sum()), bool)), (z, one[first].view(np.int64)), (z, two[first].view(np.int64)), (d, doc[first]), (a, lo[first]), (b, lo[first] + length))]
-        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["repeat", "w1", "w2", "doc", "lo", "hi"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield rows(SPAN, z, z, d, a, b)
+        yield rows(WINDOW, one[first].view(np.int64), two[first].view(np.int64), doc[first], lo[first], lo[first] + length)
+
+    def looked(units: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for i, (anchor, doc, lo, part) in enumerate(units):
+            h, s, one, two = hashed(part)
+            at = int(np.argmax(h >> np.uint64(20) == np.uint64(anchor % (1 << 64)) >> np.uint64(20)))
+            q = at + (s - at) // STEP * STEP + STEP - 1
+            c = _mix(_mix(h[q] * _ODD[5] + h[q + GRAM] * _ODD[6]) + h[q + core - GRAM] * _ODD[7])
+            found.append((c, one, two, np.full(len(s), doc, np.int64), s + lo, np.full(len(s), i)))
+        c, one, two, doc, lo, unit = (np.concatenate(x) for x in zip(*found, strict=True))
+        o = np.lexsort((lo, unit, c))
+        new_core = np.concatenate([[True], c[o][1:] != c[o][:-1]])
+        new = np.flatnonzero(new_core | np.concatenate([[True], unit[o][1:] != unit[o][:-1]]))  # the first window of each block
+        last = o[np.concatenate([new[1:], [len(o)]]) - 1]
+        of = np.cumsum(new_core)[new] - 1
+        several = np.bincount(of)[of] > 1
+        own = np.flatnonzero(~several)
+        b, e, u = o[new[own]], last[own], unit[o[new[own]]]
+        base = np.array([x[2] for x in units], np.int64)
+        bytes_of = [units[k][3][x:y] for k, x, y in zip(u.tolist(), (lo[b] - base[u]).tolist(), (lo[e] - base[u] + length).tolist(), strict=True)]
+        yield rows(BLOCK_ROW, c[b].view(np.int64), np.zeros(len(b), np.int64), doc[b], lo[b], lo[e] + length, bytes_of)
+        mark = o[new[np.flatnonzero(several & new_core[new])]]  # that the bucket has this core
+        yield rows(BLOCK_ROW, c[mark].view(np.int64), np.zeros(len(mark), np.int64), doc[mark], lo[mark], lo[mark])
+        many = np.zeros(len(c), bool)
+        many[o] = np.repeat(several, np.diff(np.concatenate([new, [len(o)]])))
+        yield from reduced(one[many], two[many], doc[many], lo[many])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, size = [], 0
         for batch in batches:
-            for doc, lo, part in zip(*(batch.column(c).to_pylist() for c in ("doc", "lo", "part")), strict=True):
-                h = gram_hashes(np.frombuffer(part, np.uint8))
-                s = np.arange(len(part) - length + 1)
-                one = two = np.zeros(len(s), np.uint64)
-                for i, q in enumerate((s, s + GRAM, s + 2 * GRAM, s + length - GRAM)):
-                    one, two = _mix(one + h[q] * _ODD[i]), _mix(two ^ (h[q] * _ODD[i + 4]))
-                own.append((one, two, np.full(len(s), doc, np.int64), s + lo))
-                size += len(s)
+            for u in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "lo", "part")), strict=True):
+                own.append(u)
+                size += len(u[3])
                 if size >= FLUSH:
-                    yield reduced(own)
+                    yield from looked(own)
                     own, size = [], 0
         if own:
-            yield reduced(own)
+            yield from looked(own)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for doc, lo, part in zip(*(batch.column(c).to_pylist() for c in ("doc", "lo", "part")), strict=True):
+                _, s, one, two = hashed(part)
+                found.append((one, two, np.full(len(s), doc, np.int64), s + lo))
+            if found:
+                yield from reduced(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
+    shape = "kind byte, w1 long, w2 long, doc long, lo int, hi int, part binary"
     bucket = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / SPLIT))
     dealt = parts.withColumn("bucket", bucket).repartition("anchor", "bucket").sortWithinPartitions("anchor", "bucket")
-    every = materialise(dealt.mapInArrow(windows, "repeat boolean, w1 long, w2 long, doc long, lo int, hi int"), "windows")
-    rows = every.where("NOT repeat").drop("repeat")
-    first = rows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = join_groups(rows, first, ["w1", "w2"], "n", rows.count(), F.col("lo") + F.col("doc")).where("doc != first.doc OR lo != first.lo")
-    return every.where("repeat").select("doc", "lo", "hi").union(again.select("doc", "lo", "hi"))
+    every = materialise(dealt.mapInArrow(blocks, shape), "blocks")
+    each = every.where(F.col("kind") == BLOCK_ROW).select(F.col("w1").alias("core"), "doc", "lo", "part")
+    met = each.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    opened = join_groups(each.where("part IS NOT NULL"), met, ["core"], "n", each.count(), F.col("lo") + F.col("doc"))
+    every = every.where(F.col("kind") != BLOCK_ROW).union(materialise(opened.select("doc", "lo", "part").mapInArrow(windows, shape), "windows"))
+    rest = every.where(F.col("kind") == WINDOW).select("w1", "w2", "doc", "lo", "hi")
+    first = rest.groupBy("w1", "w2").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = join_groups(rest, first, ["w1", "w2"], "n", rest.count(), F.col("lo") + F.col("doc")).where("doc != first.doc OR lo != first.lo")
+    return every.where(F.col("kind") == SPAN).select("doc", "lo", "hi").union(again.select("doc", "lo", "hi"))
 
 
 def without(data: bytes, spans) -> tuple[bytes, int]:
