@@ -1,10 +1,15 @@
 """License scans, native: map normalised sentences to known licence sentences, then match their sequence against ordered rules.
 
-A text is lower-cased, cut into sentences at line ends and after . ! ? before white space, and each sentence is reduced to its
-letters and digits with single spaces. Sentences that are known become identifiers; the others are passed over. A rule is a
+A text is lower-cased and reduced to its letters and digits with single spaces. Sentences end after . ! ? before white space, at
+blank lines and around list marks. Licence texts are wrapped at any column and their notices often stand on lines of their own, so
+a known sentence may also begin and end at a line end or after ; or : before white space, and may run over these. Sentences
+that are known become identifiers, the longest first where several begin at one place; the others are passed over. A rule is a
 sequence of identifiers; it matches where its identifiers stand next to each other, in order, in the document's sequence.
 Rules are in order: the more special first. Everything is DataFrame expressions in the document's own row, without shuffle.
 
+n_sentences counts sentences that end at each line end. The SQL compares whole lines' sentences with SENTENCES and RULES alone; it
+gives the same rows where no notice is wrapped or cut at ; or :, and nothing of MORE_SENTENCES and MORE_RULES occurs.
+
 Cases: a null or empty text has no sentences and no licence ('' in both lists); repeated rows are scanned alike, each on its own; long texts are
 scanned whole; if rules tie on a licence it is named once; an empty table gives an empty result. Other columns do not matter.
 """
@@ -60,6 +65,28 @@ RULES = (
     ("cc0", "CC0-1.0", ("CC0",)),
     ("reserved", "Proprietary", ("RESERVED",)),
 )
+#: What only the scan knows, after the others: titles, and rules as patterns of the sequence.
+MORE_SENTENCES = {"MIT-TITLE-2": "mit license"}
+MORE_RULES = (("mit-title-2", "MIT", " MIT-TITLE-2 "), ("gpl3-free", "GPL-3.0", " GPL-FREE (?!GPL-HOPE )"))
+_KNOWN = SENTENCES | MORE_SENTENCES
+#: Each known sentence between ends, over single line ends.
+_ANY = r"(?<![^\n])(?:" + "|".join(s.replace(" ", r"[ \n]") for s in sorted(_KNOWN.values(), key=len, reverse=True)) + r")(?![^\n])"
+#: Replacements by which a text gets two line ends at the end of a sentence, and one where a sentence may end.
+_ENDS = (
+    (r"(?m)^[\x20\x09]*(?:[-+\u2022]|\(?(?:[0-9]{1,2}|[a-z])\))[\x20\x09]+", "\n\n"),
+    (r"[.!?][\x20\x09-\x0D]+", "\n\n"),
+    (r"[;:](?:[\x20\x09\x0B-\x0D]+\n?|\n)", "\n"),
+    (r"[^\p{L}\p{N}\n]+", " "),
+    (r" ?\n ?", "\n"),
+)
+
+
+def known_sentences(text: Column) -> Column:
+    """The known sentences of a text, normalised and in order."""
+    for pattern, end in _ENDS:
+        text = F.regexp_replace(text, pattern, end)
+    found = F.regexp_extract_all(F.trim(text), F.lit(_ANY), F.lit(0))
+    return F.transform(found, lambda s: F.translate(s, "\n", " "))
 
 
 def sentences(text: Column) -> Column:
@@ -73,13 +100,13 @@ def scan(text: Column) -> Column:
     """Struct of n_sentences, n_known, sequence (identifiers in order), rules and licenses (both in the rules' order)."""
 
     def of(found: Column) -> Column:
-        known = F.filter(found, lambda s: s.isin(*SENTENCES.values()))
-        names = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
+        known = known_sentences(F.lower(F.coalesce(text, F.lit(""))))
+        names = F.create_map(*[F.lit(x) for k, v in _KNOWN.items() for x in (v, k)])
 
         def matched(ids: Column) -> Column:
             row = F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
-            hit = lambda rule: row.contains(f" {' '.join(rule[2])} ")
-            hits = lambda k: F.filter(F.array(*[F.when(hit(r), F.lit(r[k])) for r in RULES]), lambda x: x.isNotNull())
+            hit = lambda rule: row.rlike(rule[2]) if isinstance(rule[2], str) else row.contains(f" {' '.join(rule[2])} ")
+            hits = lambda k: F.filter(F.array(*[F.when(hit(r), F.lit(r[k])) for r in RULES + MORE_RULES]), lambda x: x.isNotNull())
             return F.struct(
                 F.size(found).cast("long").alias("n_sentences"),
                 F.size(ids).cast("long").alias("n_known"),

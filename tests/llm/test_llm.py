@@ -555,3 +555,67 @@ def test_license_rules(spark, docs, none):
     assert got[4].licenses == "Apache-2.0;Proprietary"
     assert (got[5].licenses, got[5].n_known) == ("", 0) and (got[6].n_sentences, got[6].licenses) == (0, "")
     assert licenses.scan_documents(docs).count() == docs.count() and licenses.scan_documents(none).count() == 0
+
+
+_MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+_GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+_HOPE = """This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+_BSD = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+"""
+
+
+def test_wrapped_licenses(spark):
+    commented = lambda mark, text: "".join(f"{mark} {line}".rstrip() + "\n" for line in text.splitlines())
+    texts = {
+        1: (_MIT, "MIT-TITLE-2 MIT-GRANT MIT-NOTICE MIT-AS-IS", "mit-full;mit-grant;mit-title-2", "MIT"),
+        2: ("/*\n" + commented(" *", _MIT) + " */", "MIT-TITLE-2 MIT-GRANT MIT-NOTICE MIT-AS-IS", "mit-full;mit-grant;mit-title-2", "MIT"),
+        3: (_APACHE, "APACHE-LONG APACHE-USE APACHE-COPY", "apache-header;apache-long", "Apache-2.0"),
+        4: (_APACHE.replace("\n", " ", 2), "APACHE-LONG APACHE-USE APACHE-COPY", "apache-header;apache-long", "Apache-2.0"),
+        5: (commented("#", _GPL + "\n" + _HOPE), "GPL-FREE GPL-HOPE", "gpl3-header", "GPL-3.0"),
+        6: (_GPL, "GPL-FREE", "gpl3-free", "GPL-3.0"),
+        7: (_BSD, "RESERVED BSD-USE", "bsd-full;bsd-use;reserved", "BSD;Proprietary"),
+        8: ("Released under the\n\nMIT License and more.\nReleased under. The MIT License here", "", "", ""),
+        9: ("It is released under the\n- MIT License\n", "MIT-TITLE-2", "mit-title-2", "MIT"),
+    }
+    rows = spark.createDataFrame([(i, t[0]) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r["license"].sequence, r["license"].rules, r["license"].licenses) for r in licenses.scan_documents(rows).collect()}
+    assert got == {i: t[1:] for i, t in texts.items()}
