@@ -17,14 +17,15 @@ Texts are UTF-8, so byte 0xFF never occurs in them and separates texts. Equal un
 everything else is compared byte by byte.
 
 Cases: null and empty texts have 0 bytes and lose nothing, as do texts under `length` bytes; a repeated row is the same document
-(equal ids must have equal texts) and is cut alike; null ids count as the largest id, one document; very long texts are handled
-in blocks; an empty table gives an empty result.
+(equal ids must have equal texts) and is cut alike; a null id is no id: each different text that has none is a document of its own,
+told by 62 bits of a hash of the text; they come after all ids, in the order of that hash; very long texts are handled in blocks; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import join_groups, materialise, table
+from quillon.llm.mixing import ranked
 
 LENGTH, GRAM = 100, 32
 #: Bytes looked at together; a longer text is handled in blocks of so many window starts.
@@ -44,6 +46,8 @@ SPLIT, INDEX_BYTES = 1024, 1 << 17
 #: Window starts of a block of a unit whose anchor has more than SPLIT texts; what rows of such blocks, windows and spans are.
 STEP, BLOCK_ROW, WINDOW, SPAN = 8, 2, 1, 0
 NO_ID = (1 << 63) - 1
+#: Where there are null ids, keys of documents from here on are those of texts without an id.
+NULLS = 1 << 62
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 
 
@@ -109,12 +113,47 @@ def _blocks(ids: list, texts: list, length: int) -> Iterator[tuple]:
             if part and total + len(piece) > BLOCK:
                 yield joined(part)
                 part, total = [], 0
-            part.append((NO_ID if d is None else d, piece, at))
+            part.append((d, piece, at))
             total += len(piece)
     if part:
         yield joined(part)
 
 
+def _text_key() -> Column:
+    """Key of a text without an id."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2) + F.lit(NULLS)
+
+
+def _own(doc_id: Column) -> tuple[Column, Column]:
+    """doc and none of a document as in FOUND."""
+    return F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"), F.when(doc_id.isNull(), _text_key()).otherwise(F.lit(0)).alias("none")
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(doc_id, text) with a key for doc_id, never null and in the order of the documents; and what turns SPANS by key into FOUND.
+
+    The key is the id where that leaves room for NULLS, else the id less NULLS, and where ids lie at both ends, the id's rank.
+    """
+    nulls, low, high = docs.agg(F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id")).first()
+    key, back, places = F.col("doc_id"), F.col("doc"), None
+    if nulls and high is not None and high >= NULLS:
+        if low >= -NULLS:
+            key, back = key - F.lit(NULLS), back + F.lit(NULLS)
+        else:
+            ids = ranked(docs.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id")
+            places = materialise(ids.select("doc_id", F.col("_mix_rank").alias("place")), "places")
+            key, back = F.col("place"), F.col("id")
+            docs = docs.join(places, "doc_id", "left")
+
+    def found(spans: DataFrame) -> DataFrame:
+        if places is not None:
+            spans = spans.join(places.select(F.col("doc_id").alias("id"), F.col("place").alias("doc")), "doc", "left")
+        has_id = F.lit(not nulls) | (F.col("doc") < NULLS)
+        return spans.select(F.when(has_id, back).otherwise(F.lit(NO_ID)).alias("doc"), F.when(has_id, F.lit(0)).otherwise(F.col("doc")).alias("none"), "lo", "hi")
+
+    return docs.select((F.coalesce(key, _text_key()) if nulls else key).alias("doc_id"), "text"), found
+
+
 UNITS = "repeat boolean, anchor long, text long, doc long, lo int, hi int"
 
 
@@ -315,6 +354,8 @@ def variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 SPANS = "doc long, lo int, hi int"
+#: Spans of documents by id: none is 0, and for a text without an id the key of the text, beside NO_ID.
+FOUND = "doc long, none long, lo int, hi int"
 
 
 def index_variants(parts: DataFrame, length: int) -> DataFrame:
@@ -479,9 +520,9 @@ def cut(docs: DataFrame, spans: DataFrame, keep_text: bool = False) -> DataFrame
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    each = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one document
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"))
-    return rows.join(each, "doc", "left").select("doc_id", "text", "spans").mapInArrow(one, CUT)
+    each = spans.groupBy("doc", "none").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one document
+    rows = docs.select("doc_id", "text", *_own(F.col("doc_id")))
+    return rows.join(each, ["doc", "none"], "left").select("doc_id", "text", "spans").mapInArrow(one, CUT)
 
 
 def cut_text(text: Column, spans: Column) -> Column:
@@ -494,30 +535,31 @@ def cut_text(text: Column, spans: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """SPANS that cover every byte of a window that also starts earlier; they may overlap."""
+    """FOUND: spans that cover every byte of a window that also starts earlier; they may overlap."""
     if not 3 * GRAM <= length <= 3 * GRAM + 4:
         raise ValueError("units are told by six grams, which cover windows of 96 to 100 bytes")
-    reduced = materialise(reduce_units(find_units(docs, length)), "units")
+    keyed, found = _keyed(docs)
+    reduced = materialise(reduce_units(find_units(keyed, length)), "units")
     again = reduced.where("repeat").select("doc", "lo", "hi")
     several = reduced.where("NOT repeat")
     total = several.count()
     sizes = several.groupBy("anchor").agg(F.count("*").alias("n"))
     wanted = join_groups(several, sizes, ["anchor"], "n", total, F.col("doc"))
-    keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     parts = materialise(variants(keyed, wanted.select("anchor", "n", "doc", "lo", "hi")), "variants")
     indexed = index_variants(parts.where(F.col("n") <= SPLIT), length)
     split = split_variants(parts.where(F.col("n") > SPLIT), length)
-    return again.union(materialise(indexed, "indexed")).union(split)
+    return found(again.union(materialise(indexed, "indexed")).union(split))
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with their repeated spans cut out of the text; same columns, every row stays."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = materialise(repeated_spans(own, length), "spans")
-    each = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")).withColumnRenamed("doc", "_doc")
-    rows = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(each, "_doc", "left")
-    none = F.array().cast("array<struct<lo:int,hi:int>>")
-    cleaned = rows.withColumn("text", F.when(F.col("text").isNotNull(), cut_text(F.col("text"), F.coalesce("_spans", none))))
+    each = spans.groupBy("doc", "none").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")).withColumnsRenamed({"doc": "_doc", "none": "_none"})
+    doc, none = _own(F.col("doc_id").cast("long"))
+    rows = docs.withColumns({"_doc": doc, "_none": none}).join(each, ["_doc", "_none"], "left")
+    empty = F.array().cast("array<struct<lo:int,hi:int>>")
+    cleaned = rows.withColumn("text", F.when(F.col("text").isNotNull(), cut_text(F.col("text"), F.coalesce("_spans", empty))))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
     return cleaned.select(*docs.columns)
