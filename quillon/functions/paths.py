@@ -69,9 +69,14 @@ def normalize(path: Column) -> Column:
     return F.when(path.startswith("/"), F.concat(F.lit("/"), body)).otherwise(body)
 
 
+def components(path: Column) -> Column:
+    """Array of the components; in the order of such arrays a directory is next to what is below it, in that of strings 'a-b' is between 'a' and 'a/c'."""
+    return F.split(path, "/")
+
+
 def common_directory(low: Column, high: Column) -> Column:
-    """Longest common run of components of two paths. Of the least and the greatest of a set it is that of the whole set."""
-    a, b = F.split(low, "/"), F.split(high, "/")
+    """Longest common run of components of two paths, given as components. Of the least and the greatest of a set it is that of the whole set."""
+    a, b = low, high
     n = F.least(F.size(a), F.size(b))
     same = F.filter(F.sequence(F.lit(1), n), lambda i: F.slice(a, 1, i) == F.slice(b, 1, i))
     return F.array_join(F.slice(a, 1, F.coalesce(F.array_max(same), F.lit(0))), "/")

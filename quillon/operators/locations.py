@@ -38,8 +38,9 @@ def asset_groups(assets: DataFrame, local: DataFrame, shared: DataFrame) -> Data
     placed = deepest(own, F.col("path"), local.select("place", "location"))
     top = F.concat(F.lit("/"), F.substring_index(F.substr("path", F.lit(2)), "/", 1))
     keyed = placed.withColumn("_group", F.coalesce("place", top))
+    parts = paths.components(paths.parent(F.col("path")))
     count = lambda k: F.count_if(F.col("kind") == k).alias(k + "s")
-    grouped = keyed.groupBy("_group", "location").agg(F.max("place").alias("_place"), F.min(paths.parent(F.col("path"))).alias("_low"), F.max(paths.parent(F.col("path"))).alias("_high"), count("input"), count("output"), count("reference"))
+    grouped = keyed.groupBy("_group", "location").agg(F.max("place").alias("_place"), F.min(parts).alias("_low"), F.max(parts).alias("_high"), count("input"), count("output"), count("reference"))
     return grouped.select("location", F.coalesce("_place", paths.common_directory(F.col("_low"), F.col("_high"))).alias("root"), "inputs", "outputs", "references")
 
 

@@ -35,7 +35,8 @@ def partition(rows: DataFrame, roots: list[str]) -> DataFrame:
 
 def detect_root(rows: DataFrame) -> DataFrame:
     """One row: the longest common directory of all paths; that of the least and the greatest path."""
-    low, high = F.min(paths.parent(F.col("path"))).alias("low"), F.max(paths.parent(F.col("path"))).alias("high")
+    parts = paths.components(paths.parent(F.col("path")))
+    low, high = F.min(parts).alias("low"), F.max(parts).alias("high")
     return rows.agg(low, high).select(paths.common_directory(F.col("low"), F.col("high")).alias("root"))
 
 

@@ -63,3 +63,14 @@ def test_globs(spark, pattern, path, braces, expected):
 def test_chunks(spark, size, n):
     row = spark.createDataFrame([(size,)], "size long").select(chunks.chunk_count(F.col("size")).alias("n"), chunks.chunk_list(F.col("size")).alias("c")).first()
     assert (row.n, len(row.c), sum(c.length for c in row.c)) == (n, n, size)
+
+
+def test_common_directory_of_siblings_that_go_on(spark):
+    from quillon.operators import locations, select
+
+    for more in ("-x", ".x", " x"):
+        rows = spark.createDataFrame([("/a/b/f",), (f"/a/b{more}/f",), ("/a/b/c/f",)], "path string")
+        assert [r.root for r in select.detect_root(rows).collect()] == ["/a"]
+    none = spark.createDataFrame([], "place string, location string")
+    got = locations.asset_groups(rows.selectExpr("path", "'input' AS kind"), none, none).collect()
+    assert [(r.root, r.inputs) for r in got] == [("/a", 3)]
