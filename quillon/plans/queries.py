@@ -478,7 +478,7 @@ def asset_groups(spark, d):
 @query("SELECT p_type, p_type || '/' || CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) || '/d' ELSE '' END AS root FROM part WHERE p_partkey < 3000 GROUP BY p_type")
 def common_path(spark, d):
     path = paths.components(F.concat_ws("/", "p_type", "p_brand", F.lit("d")))
-    low = t.read(spark, d, "part").where("p_partkey < 3000").groupBy("p_type").agg(F.min(path).alias("lo"), F.max(path).alias("hi"))
+    low = t.read(spark, d, "part").groupBy("p_type").agg(F.min(path).alias("lo"), F.max(path).alias("hi"))
     found = paths.common_directory(F.col("lo"), F.col("hi"))
     return low.select("p_type", F.when(found == F.col("p_type"), F.concat(found, F.lit("/"))).otherwise(found).alias("root"))
 

@@ -74,3 +74,10 @@ def test_common_directory_of_siblings_that_go_on(spark):
     none = spark.createDataFrame([], "place string, location string")
     got = locations.asset_groups(rows.selectExpr("path", "'input' AS kind"), none, none).collect()
     assert [(r.root, r.inputs) for r in got] == [("/a", 3)]
+
+
+def test_common_path_reads_all_parts(spark, tmp_path):
+    from quillon.plans import queries
+
+    spark.createDataFrame([(1, "T", "B1"), (5000, "T", "B2")], "p_partkey long, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    assert [tuple(r) for r in queries.common_path(spark, str(tmp_path)).collect()] == [("T", "T/")]
