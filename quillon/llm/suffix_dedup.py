@@ -18,18 +18,20 @@ everything else is compared byte by byte.
 
 Cases: null and empty texts have 0 bytes and lose nothing, as do texts under `length` bytes; a repeated row is the same document
 (equal ids must have equal texts) and is cut alike; a null id is no id: each different text that has none is a document of its own,
-told by 62 bits of a hash of the text; they come after all ids, in the order of that hash; very long texts are handled in blocks; an
-empty table gives an empty result.
+told by 62 bits of a hash of the text; they come after all ids, in the order of that hash; very long texts are handled in blocks, but the
+units and spans of one document are collected with its text; an empty table gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +43,8 @@ LENGTH, GRAM = 100, 32
 BLOCK = 1 << 15
 #: Units gathered in a task before equal ones among them are reduced.
 FLUSH = 400_000
-#: Texts of an anchor up to which they are indexed together; and bytes of texts indexed at a time.
+#: Texts that an index takes of one group: larger groups are dealt further by content, into indexes alike; and bytes of texts indexed at a time.
 SPLIT, INDEX_BYTES = 1024, 1 << 17
-#: Window starts of a block of a unit whose anchor has more than SPLIT texts; what rows of such blocks, windows and spans are.
-STEP, BLOCK_ROW, WINDOW, SPAN = 8, 2, 1, 0
 NO_ID = (1 << 63) - 1
 #: Where there are null ids, keys of documents from here on are those of texts without an id.
 NULLS = 1 << 62
@@ -354,6 +354,7 @@ def variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 SPANS = "doc long, lo int, hi int"
+PIECES = "anchor long, doc long, lo int, at int, part binary"
 #: Spans of documents by id: none is 0, and for a text without an id the key of the text, beside NO_ID.
 FOUND = "doc long, none long, lo int, hi int"
 
@@ -387,102 +388,55 @@ def index_variants(parts: DataFrame, length: int) -> DataFrame:
     return parts.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "doc", "lo", "part").mapInArrow(indexed, SPANS)
 
 
-def split_variants(parts: DataFrame, length: int) -> DataFrame:
-    """SPANS of the repeated windows among units of anchors with many texts.
+def halved(parts: DataFrame, block: int, length: int) -> DataFrame:
+    """PIECES of the parts (anchor, doc, lo, at, part): their windows that start in the same `block` bytes, counted back from the anchor's place.
 
-    The units of an anchor are dealt over buckets of about SPLIT and looked at by blocks: the windows of a unit that start in the
-    same STEP bytes, counted from its anchor. All windows of a block hold its core, length - STEP + 1 bytes. A block whose core no
-    other unit has holds no repeat: it leaves its bucket as one row, and only if another bucket has its core as well are its windows
-    made. Windows of the other blocks are reduced to the earliest of equal ones in the bucket, so that of a window that all units
-    have, one row a bucket remains to be compared over the buckets.
+    All windows of a piece hold its core, length - block + 1 bytes. Equal windows are as far from their anchor, and so have equal cores: they
+    meet under the key of their core. A null `at` is sought in the part: the first gram with the anchor's hash.
     """
-    core = length - STEP + 1
-
-    def hashed(part: bytes) -> tuple[np.ndarray, ...]:
-        h = gram_hashes(np.frombuffer(part, np.uint8))
-        s = np.arange(len(part) - length + 1)
-        one = two = np.zeros(len(s), np.uint64)
-        for i, q in enumerate((s, s + GRAM, s + 2 * GRAM, s + length - GRAM)):
-            one, two = _mix(one + h[q] * _ODD[i]), _mix(two ^ (h[q] * _ODD[i + 4]))
-        return h, s, one, two
-
-    def rows(kind: int, w1, w2, doc, lo, hi, part=None) -> pa.RecordBatch:
-        kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        columns = (np.full(len(doc), kind), w1, w2, doc, lo, hi, part or [None] * len(doc))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "w1", "w2", "doc", "lo", "hi", "part"])
-
-    def reduced(one, two, doc, lo) -> Iterator[pa.RecordBatch]:
-        if not len(one):
-            return
-        o = np.lexsort((lo, doc, two, one))
-        one, two, doc, lo = one[o], two[o], doc[o], lo[o]
-        first = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-        head = np.flatnonzero(first)[np.cumsum(first) - 1]
-        again = ~first & ((doc != doc[head]) | (lo != lo[head]))
-        d, a, b = _spans(doc[again], lo[again], lo[again] + length)
-        z = np.zeros(len(d), np.int64)
-        yield rows(SPAN, z, z, d, a, b)
-        yield rows(WINDOW, one[first].view(np.int64), two[first].view(np.int64), doc[first], lo[first], lo[first] + length)
-
-    def looked(units: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for i, (anchor, doc, lo, part) in enumerate(units):
-            h, s, one, two = hashed(part)
-            at = int(np.argmax(h >> np.uint64(20) == np.uint64(anchor % (1 << 64)) >> np.uint64(20)))
-            q = at + (s - at) // STEP * STEP + STEP - 1
-            c = _mix(_mix(h[q] * _ODD[5] + h[q + GRAM] * _ODD[6]) + h[q + core - GRAM] * _ODD[7])
-            found.append((c, one, two, np.full(len(s), doc, np.int64), s + lo, np.full(len(s), i)))
-        c, one, two, doc, lo, unit = (np.concatenate(x) for x in zip(*found, strict=True))
-        o = np.lexsort((lo, unit, c))
-        new_core = np.concatenate([[True], c[o][1:] != c[o][:-1]])
-        new = np.flatnonzero(new_core | np.concatenate([[True], unit[o][1:] != unit[o][:-1]]))  # the first window of each block
-        last = o[np.concatenate([new[1:], [len(o)]]) - 1]
-        of = np.cumsum(new_core)[new] - 1
-        several = np.bincount(of)[of] > 1
-        own = np.flatnonzero(~several)
-        b, e, u = o[new[own]], last[own], unit[o[new[own]]]
-        base = np.array([x[2] for x in units], np.int64)
-        bytes_of = [units[k][3][x:y] for k, x, y in zip(u.tolist(), (lo[b] - base[u]).tolist(), (lo[e] - base[u] + length).tolist(), strict=True)]
-        yield rows(BLOCK_ROW, c[b].view(np.int64), np.zeros(len(b), np.int64), doc[b], lo[b], lo[e] + length, bytes_of)
-        mark = o[new[np.flatnonzero(several & new_core[new])]]  # that the bucket has this core
-        yield rows(BLOCK_ROW, c[mark].view(np.int64), np.zeros(len(mark), np.int64), doc[mark], lo[mark], lo[mark])
-        many = np.zeros(len(c), bool)
-        many[o] = np.repeat(several, np.diff(np.concatenate([new, [len(o)]])))
-        yield from reduced(one[many], two[many], doc[many], lo[many])
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, size = [], 0
-        for batch in batches:
-            for u in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "lo", "part")), strict=True):
-                own.append(u)
-                size += len(u[3])
-                if size >= FLUSH:
-                    yield from looked(own)
-                    own, size = [], 0
-        if own:
-            yield from looked(own)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for doc, lo, part in zip(*(batch.column(c).to_pylist() for c in ("doc", "lo", "part")), strict=True):
-                _, s, one, two = hashed(part)
-                found.append((one, two, np.full(len(s), doc, np.int64), s + lo))
-            if found:
-                yield from reduced(*(np.concatenate(x) for x in zip(*found, strict=True)))
-
-    shape = "kind byte, w1 long, w2 long, doc long, lo int, hi int, part binary"
-    bucket = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / SPLIT))
-    dealt = parts.withColumn("bucket", bucket).repartition("anchor", "bucket").sortWithinPartitions("anchor", "bucket")
-    every = materialise(dealt.mapInArrow(blocks, shape), "blocks")
-    each = every.where(F.col("kind") == BLOCK_ROW).select(F.col("w1").alias("core"), "doc", "lo", "part")
-    met = each.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
-    opened = join_groups(each.where("part IS NOT NULL"), met, ["core"], "n", each.count(), F.col("lo") + F.col("doc"))
-    every = every.where(F.col("kind") != BLOCK_ROW).union(materialise(opened.select("doc", "lo", "part").mapInArrow(windows, shape), "windows"))
-    rest = every.where(F.col("kind") == WINDOW).select("w1", "w2", "doc", "lo", "hi")
-    first = rest.groupBy("w1", "w2").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = join_groups(rest, first, ["w1", "w2"], "n", rest.count(), F.col("lo") + F.col("doc")).where("doc != first.doc OR lo != first.lo")
-    return every.where(F.col("kind") == SPAN).select("doc", "lo", "hi").union(again.select("doc", "lo", "hi"))
+            out: list[list] = [[], [], [], [], []]
+            for anchor, doc, lo, at, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "lo", "at", "part")), strict=True):
+                if at is None:
+                    h = gram_hashes(np.frombuffer(part, np.uint8))
+                    at = int(np.argmax(h >> np.uint64(20) == np.uint64(anchor % (1 << 64)) >> np.uint64(20)))
+                least = at - (len(part) - length)  # windows start at - least .. at bytes before the anchor
+                for b in range(least // block, at // block + 1):
+                    first, last = at - min(at, b * block + block - 1), at - max(least, b * block)
+                    core = part[at - b * block : at - b * block - block + 1 + length]
+                    row = (xxhash.xxh3_64_intdigest(core, seed=b + 1) - (1 << 63), doc, lo + first, at - first, part[first : last + length])
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "doc", "lo", "at", "part"])
+
+    return parts.select("anchor", "doc", "lo", "at", "part").mapInArrow(cut, PIECES)
+
+
+def deal_variants(parts: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Groups that each fit an index, and SPANS of repeats met on the way, of (anchor, n, doc, lo, part).
+
+    A group of more than SPLIT texts is dealt further by content: its windows go by the core that they have in common with all that start in the
+    same 32 bytes, then 16, 8, 4, 2, 1. Of pieces with equal bytes the earliest stays, the others are repeats. So a group shrinks at
+    each step to what is still too large for one index, and with a core of a whole window there is one text left. Keys of groups and pieces are
+    reduced before they are shuffled, and the rows of a hot one are dealt over tasks (join_groups).
+    """
+    fit, spans, block = [parts.where(F.col("n") <= SPLIT)], [], 32
+    large = parts.where(F.col("n") > SPLIT).withColumn("at", F.lit(None).cast("int"))
+    while block and not large.isEmpty():
+        pieces = materialise(halved(large, block, length), "pieces")
+        texts = pieces.groupBy("anchor", "part").agg(F.min(F.struct("doc", "lo", "at")).alias("first"), F.count("*").alias("c"))
+        texts = materialise(texts, "texts")
+        again = join_groups(pieces, texts.where("c > 1"), ["anchor", "part"], "c", pieces.count(), F.col("doc")).where("doc != first.doc OR lo != first.lo")
+        spans.append(again.select("doc", "lo", (F.col("lo") + F.octet_length("part")).cast("int").alias("hi")))
+        sizes = texts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+        sized = join_groups(texts, sizes, ["anchor"], "n", texts.count(), F.col("first.lo") + F.col("first.doc"))
+        sized = materialise(sized.select("anchor", "n", "first.doc", "first.lo", "first.at", "part"), "sized")
+        fit.append(sized.where(F.col("n") <= SPLIT))
+        large, block = sized.where(F.col("n") > SPLIT), block // 2
+    return fit, spans
 
 
 def without(data: bytes, spans) -> tuple[bytes, int]:
@@ -546,23 +500,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     sizes = several.groupBy("anchor").agg(F.count("*").alias("n"))
     wanted = join_groups(several, sizes, ["anchor"], "n", total, F.col("doc"))
     parts = materialise(variants(keyed, wanted.select("anchor", "n", "doc", "lo", "hi")), "variants")
-    indexed = index_variants(parts.where(F.col("n") <= SPLIT), length)
-    split = split_variants(parts.where(F.col("n") > SPLIT), length)
-    return found(again.union(materialise(indexed, "indexed")).union(split))
+    fit, spans = deal_variants(parts, length)
+    every = reduce(DataFrame.union, [x.select("anchor", "doc", "lo", "part") for x in fit])
+    return found(reduce(DataFrame.union, [again, materialise(index_variants(every, length), "indexed"), *spans]))
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with their repeated spans cut out of the text; same columns, every row stays."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = materialise(repeated_spans(own, length), "spans")
-    each = spans.groupBy("doc", "none").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")).withColumnsRenamed({"doc": "_doc", "none": "_none"})
-    doc, none = _own(F.col("doc_id").cast("long"))
-    rows = docs.withColumns({"_doc": doc, "_none": none}).join(each, ["_doc", "_none"], "left")
+    each = spans.groupBy("doc", "none").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    rows = docs.select(F.struct("*").alias("row"), *_own(F.col("doc_id").cast("long"))).join(each, ["doc", "none"], "left")
     empty = F.array().cast("array<struct<lo:int,hi:int>>")
-    cleaned = rows.withColumn("text", F.when(F.col("text").isNotNull(), cut_text(F.col("text"), F.coalesce("_spans", empty))))
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
-    return cleaned.select(*docs.columns)
+    text = F.col("row.text")
+    rows = rows.select("row", F.when(text.isNotNull(), cut_text(text, F.coalesce("spans", empty))).alias("text"))
+    of = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[of.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

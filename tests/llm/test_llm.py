@@ -637,3 +637,34 @@ def test_wrapped_licenses(spark):
     rows = spark.createDataFrame([(i, t[0]) for i, t in texts.items()], "doc_id long, text string")
     got = {r.doc_id: (r["license"].sequence, r["license"].rules, r["license"].licenses) for r in licenses.scan_documents(rows).collect()}
     assert got == {i: t[1:] for i, t in texts.items()}
+
+
+def test_suffix_dedup_of_an_anchor_with_thousands_of_texts(spark):
+    """One passage within differing texts: its group is dealt over many indexes, and windows that go beyond it still meet."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    piece = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    passage, short = piece(97), piece(40)
+    ends = [piece(3) for _ in range(30)]
+    texts = {}
+    for i in range(5800):
+        before, after = piece(60), piece(60)
+        if i % 5 == 0:
+            after = ends[i % 30] + after
+        if i % 7 == 0:
+            before = before + ends[i % 30]
+        texts[i] = before + (short if i % 13 == 0 else passage) + after
+    frame = common.materialise(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "hot")
+    found = suffix_dedup.reduce_units(suffix_dedup.find_units(frame)).where("NOT repeat").groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert found > 5000
+    got = suffix_dedup.cut(frame, suffix_dedup.repeated_spans(frame)).collect()
+    expected = brute_cut(texts, 100)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == expected
+    assert sum(e[1] > 0 for e in expected.values()) > 1000
+
+
+def test_suffix_dedup_with_columns_of_its_own_names(spark):
+    text = prose(random.Random(1), 40)
+    frame = spark.createDataFrame([(1, text, 5, "a", 7), (2, text, 6, "b", 8)], "doc_id long, text string, doc int, spans string, row int")
+    kept = {r.doc_id: r for r in suffix_dedup.deduplicate(frame).collect()}
+    assert kept[1].text == text and kept[2].text == "" and (kept[2].doc, kept[2].spans, kept[2].row) == (6, "b", 8)
