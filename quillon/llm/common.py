@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +38,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors, and is computed once."""
+def materialise_at(df: DataFrame, name: str) -> str:
+    """Write to the shared folder: the path."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage, survives lost executors, and is computed once."""
+    return df.sparkSession.read.schema(df.schema).parquet(materialise_at(df, name))
+
+
+def read_shared(path: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """In a task: batches of at most `rows` rows of the Parquet files below a path of the shared folder, one file after the other."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector
+
+    fs, at = open_folder(path)
+    for f in sorted(x.path for x in fs.get_file_info(FileSelector(at)) if x.base_name.endswith(".parquet")):
+        with fs.open_input_file(f) as data:
+            yield from pq.ParquetFile(data).iter_batches(rows)
+
+
+def open_folder(path: str):
+    """In a task: (file system, path in it) of a path of the shared folder, whether it has a scheme or not."""
+    from pyarrow.fs import FileSystem
+
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = path.removeprefix("file:")
+    return FileSystem.from_uri(path)
 
 
 def discard(df: DataFrame) -> None:

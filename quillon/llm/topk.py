@@ -1,16 +1,20 @@
 """Exact top-k inner products by an impact-ordered index, processed score at a time.
 
-Vectors are whole numbers. Each task indexes blocks of its own vectors: a component (a posting) has its magnitude as impact, quantised to levels.
-Queries take the segments of a block by descending level, all postings of a level at once. What a candidate can still gain or lose
-is at most |query| times the norm of its postings not yet seen. A query stops on the proof that all but a few candidates lie below its k-th best;
-these few are scored again exactly. Without proof it goes on to the last level, where all scores are exact.
+Vectors are whole numbers. Each task indexes blocks of its own vectors: a component that is not 0 is a posting (place of the vector, value) of its
+dimension, and each dimension's postings are ordered by impact, the magnitude, quantised to LEVELS; those of one level are a segment.
+A query takes the segments of all dimensions by descending impact on its score, |query component| x level: in rounds, each down to half
+the impact of the round before. What a candidate can still gain or lose is at most the sum over the dimensions of |query component| x the
+greatest value of the segments not yet taken. A query stops on the proof that all but a few candidates lie below its k-th best; these few are
+scored again exactly. Without proof it goes on to the last segment, where all scores are exact.
 
-Queries come in blocks of bounded size, one broadcast each, against all vectors where they are read; only each task's best k
-a query is shuffled. So nothing grows with the input in a task or in the driver.
+Queries are written to the shared folder once. A task reads them in blocks and sends all blocks through the index of a block of its vectors while
+that is alive, so that vectors are read and indexed once; only the best k a query and block of vectors are shuffled. Nothing grows with the input in
+a task or in the driver.
 
 Cases: vectors that are null, or hold null or a component that is not finite, take no part, nor do rows with a null id; vectors of different
 length are not compared; of rows that share a query's id the least vector asks, and none of them answers it; other repeated rows are
-candidates each; empty vectors score 0; ties go to the smaller id; an empty table gives an empty result. Components beyond 2^31 after scaling raise.
+candidates each; empty vectors score 0; ties go to the smaller id; an empty table gives an empty result; large components are multiplied as whole
+numbers of any size, and a score beyond a long counts as the nearest long.
 """
 
 from __future__ import annotations
@@ -23,11 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import materialise, table
+from quillon.llm.common import materialise_at, read_shared, table
 
 #: Queries of a block; vectors indexed together; levels of impact; candidates left at which a query may stop.
-QUERIES, VECTORS, LEVELS, FEW = 2048, 4096, 6, 32
+QUERIES, VECTORS, LEVELS, FEW = 2048, 16384, 12, 32
 BEST = "query_id long, vec_id long, score long"
+LONG = (1 << 63) - 1
+#: Sums of products of whole numbers below this are exact as doubles.
+EXACT = float(1 << 53)
 
 
 def finite(v: Column) -> Column:
@@ -35,78 +42,135 @@ def finite(v: Column) -> Column:
 
 
 def quantise(v: Column, scale: int = 256) -> Column:
-    return F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    """Whole numbers as doubles; beyond 2^52 a double is whole."""
+
+    def whole(x: Column) -> Column:
+        y = F.least(F.greatest(x.cast("double") * scale, F.lit(-1.7e308)), F.lit(1.7e308))
+        return F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(v, whole)
 
 
 class Index:
-    """Postings of a block of vectors by level of impact, highest first."""
-
-    def __init__(self, vectors: np.ndarray, kind: type):
-        size = np.abs(vectors)
-        level = np.minimum(size * LEVELS // (int(size.max(initial=0)) + 1), LEVELS - 1)
-        self.segments, self.rest = [], []
-        for l in range(LEVELS - 1, -1, -1):
-            self.segments.append(np.where(level == l, vectors, 0).astype(kind).T)
-            self.rest.append(np.sqrt((np.where(level < l, vectors, 0).astype(np.float64) ** 2).sum(axis=1)))
-
-
-def search(index: Index, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int, kind: type) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, possible members of its k best) of a block; floor: scores that k candidates of other blocks reach already."""
-    active = np.arange(len(queries))
-    scores = np.zeros((len(queries), len(vectors)), kind)
-    norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-    asked = queries.astype(kind)
-    own = query_ids[:, None] == ids[None, :]
-    for step, (segment, rest) in enumerate(zip(index.segments, index.rest, strict=True)):
-        scores += asked @ segment
-        if step < LEVELS // 2 - 1 and step < LEVELS - 1:
-            continue
-        bound = (norms[active, None] * rest[None, :] + (step < LEVELS - 1)).astype(kind)
-        least = np.where(own, -np.inf, scores - bound)
-        kth = np.full(len(active), -np.inf) if len(vectors) < k else np.partition(least, len(vectors) - k, axis=1)[:, len(vectors) - k]
-        possible = (scores + bound >= np.maximum(kth, floor[active])[:, None]) & ~own
-        done = (possible.sum(axis=1) <= FEW) | (step == LEVELS - 1)
-        for i in np.flatnonzero(done):
-            yield active[i], np.flatnonzero(possible[i])
-        active, scores, asked, own = active[~done], scores[~done], asked[~done], own[~done]
-        if not len(active):
-            return
-
-
-def best_of(candidates: DataFrame, block: list[tuple[int, list[int]]], k: int) -> DataFrame:
-    """BEST k candidates (vec_id, v) of each task for each query of the block."""
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for n in {len(v) for _, v in block}:
-        own = [(i, v) for i, v in block if len(v) == n]
-        by_length[n] = np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.int64).reshape(len(own), n)
-    shared = candidates.sparkSession.sparkContext.broadcast(by_length)
+    """Postings of a block of vectors, for each dimension by descending impact, with the bounds of the segments."""
+
+    def __init__(self, vectors: np.ndarray):
+        size = np.abs(vectors.T)
+        step = float(size.max(initial=0)) / LEVELS + 1e-300
+        level = np.minimum((size / step).astype(np.int32), LEVELS - 1)
+        level[size == 0] = -1  # no posting
+        order = np.argsort(-level, axis=1, kind="stable")
+        self.count, self.dims = vectors.shape
+        self.at = order.astype(np.int32)
+        self.value = np.take_along_axis(vectors.T, order, axis=1)
+        ranked = np.take_along_axis(level, order, axis=1)
+        # Segment j of a dimension has level LEVELS - 1 - j and ends at end[dimension, j]; top is the greatest value of a segment.
+        self.end = np.stack([(ranked >= l).sum(axis=1) for l in range(LEVELS - 1, -1, -1)], axis=1) if self.dims else np.zeros((0, LEVELS), np.int64)
+        greatest = lambda l: np.where(level == l, size, 0).max(axis=1, initial=0)
+        self.top = np.stack([greatest(l) for l in range(LEVELS - 1, -1, -1)], axis=1) if self.dims else np.zeros((0, LEVELS))
+
+
+def search(index: Index, query: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Places of the possible members of a query's k best; `own`: places that do not answer it."""
+    scores = np.zeros(index.count)
+    scores[own] = -np.inf
+    impact = np.abs(query)[:, None] * index.top
+    # The impact of what a dimension still holds, and how many of its segments are taken.
+    ahead = np.maximum.accumulate(impact[:, ::-1], axis=1)[:, ::-1]
+    ahead = np.concatenate([ahead, np.zeros((index.dims, 1))], axis=1)
+    taken = np.zeros(index.dims, np.int64)
+    rows = np.arange(index.dims)
+    least = float(ahead[:, 0].max(initial=0))
+    while True:
+        least /= 2
+        open_ = float(ahead[rows, taken].max(initial=0))
+        if open_ <= 0:
+            break
+        if open_ < least:
+            least = open_ / 2
+        to = (ahead > least).sum(axis=1)
+        start = np.where(taken > 0, index.end[rows, np.maximum(taken - 1, 0)], 0)
+        end = np.where(to > 0, index.end[rows, np.maximum(to - 1, 0)], 0)
+        some = np.flatnonzero(end > start)
+        if len(some):
+            spans = [(d, slice(a, b)) for d, a, b in zip(some.tolist(), start[some].tolist(), end[some].tolist(), strict=True)]
+            at = np.concatenate([index.at[d, s] for d, s in spans])
+            gains = np.concatenate([index.value[d, s] * query[d] for d, s in spans])
+            scores += np.bincount(at, gains, minlength=index.count)
+        taken = np.maximum(taken, to)
+        rest = float(ahead[rows, taken].sum())
+        if rest > 0 and index.count > k:
+            possible = np.flatnonzero(scores >= np.partition(scores, index.count - k)[index.count - k] - 2 * rest)
+            if len(possible) <= FEW:
+                return possible[scores[possible] > -np.inf]
+    if index.count > k:
+        possible = np.flatnonzero(scores >= np.partition(scores, index.count - k)[index.count - k])
+        return possible[scores[possible] > -np.inf]
+    return np.flatnonzero(scores > -np.inf)
+
+
+def _exact(vectors: np.ndarray, query: np.ndarray) -> list[int]:
+    """Inner products as whole numbers, within a long."""
+    asked = [int(x) for x in query.tolist()]
+    return [max(-LONG - 1, min(LONG, sum(int(x) * y for x, y in zip(v, asked, strict=True)))) for v in vectors.tolist()]
+
+
+def _best(ids: np.ndarray, scores: list[int] | np.ndarray, k: int) -> list[tuple[int, int]]:
+    return sorted(zip((-s for s in (scores if isinstance(scores, list) else scores.tolist())), ids.tolist(), strict=True))[:k]
+
+
+def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, vectors) of the rows of each length."""
+    lists = batch.column(1)
+    offsets = lists.offsets.to_numpy()
+    flat, ids, sizes = lists.values.to_numpy(), batch.column(0).to_numpy(), np.diff(offsets)
+    for n in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == n)
+        yield n, ids[rows], flat[offsets[rows][:, None] + np.arange(n)[None, :]]
+
+
+def best_of(candidates: DataFrame, queries: str, k: int) -> DataFrame:
+    """BEST k candidates (vec_id, v) of each block of vectors for each query of the Parquet files below `queries`."""
+
+    def answered(n: int, ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        greatest = np.abs(vectors).max(axis=1, initial=0)
+        limit = np.sqrt(EXACT / max(n, 1))
+        plain = np.flatnonzero(greatest < limit)
+        wide = np.flatnonzero(greatest >= limit)  # few: their products are made as whole numbers of any size
+        index = Index(vectors[plain])
+        place = {}
+        for at, i in enumerate(ids[plain].tolist()):
+            place.setdefault(i, []).append(at)
+        for batch in read_shared(queries, QUERIES):
+            out: list[tuple[int, int, int]] = []
+            for length, query_ids, asked in _vectors(batch):
+                if length != n:
+                    continue
+                for q, query in zip(query_ids.tolist(), asked, strict=True):
+                    if np.abs(query).max(initial=0) < limit:
+                        members = plain[search(index, query, np.asarray(place.get(q, []), np.int64), k)]
+                        found = _best(ids[members], (vectors[members] @ query).astype(np.int64), k)
+                        others = wide[ids[wide] != q]
+                    else:
+                        found, others = [], np.flatnonzero(ids != q)
+                    if len(others):
+                        found = sorted([*found, *_best(ids[others], _exact(vectors[others], query), k)])[:k]
+                    out += [(q, i, -s) for s, i in found]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {n: [[] for _ in ids] for n, (ids, _) in shared.value.items()}  # (-score, id) of each query, at most k
-        floor = {n: np.full(len(ids), -np.inf) for n, (ids, _) in shared.value.items()}
+        held: dict[int, list] = {}
         for batch in batches:
-            lists = batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat, start = lists.values.to_numpy(), lists.offsets.to_numpy()
-            ids = batch.column(0).to_numpy()
-            for n in set(sizes.tolist()) & set(best):
-                rows = np.flatnonzero(sizes == n)
-                query_ids, queries = shared.value[n]
-                for at in range(0, len(rows), VECTORS):
-                    r = rows[at : at + VECTORS]
-                    vectors = flat[start[r][:, None] + np.arange(n)[None, :]]
-                    top = n * int(np.abs(vectors).max(initial=0)) * int(np.abs(queries).max(initial=0))
-                    kind = np.float32 if top < 1 << 24 else np.float64  # sums are exact then
-                    if top >= 1 << 53:
-                        raise ValueError("components are too large for exact scores")
-                    for q, members in search(Index(vectors, kind), vectors, ids[r], queries, query_ids, floor[n], k, kind):
-                        exact = vectors[members] @ queries[q]
-                        merged = sorted([*best[n][q], *zip((-exact).tolist(), ids[r][members].tolist(), strict=True)])[:k]
-                        best[n][q] = merged
-                        if len(merged) == k:
-                            floor[n][q] = -merged[-1][0]
-        out = [(int(shared.value[n][0][q]), i, -s) for n, each in best.items() for q, rows in enumerate(each) for s, i in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+            for n, ids, vectors in _vectors(batch):
+                for at in range(0, len(ids), VECTORS):
+                    own = held.setdefault(n, [])
+                    own.append((ids[at : at + VECTORS], vectors[at : at + VECTORS]))
+                    if sum(len(i) for i, _ in own) >= VECTORS:
+                        yield from answered(n, np.concatenate([i for i, _ in own]), np.concatenate([v for _, v in own]))
+                        held[n] = []
+        for n, own in held.items():
+            if own:
+                yield from answered(n, np.concatenate([i for i, _ in own]), np.concatenate([v for _, v in own]))
 
     return candidates.mapInArrow(found, BEST)
 
@@ -116,16 +180,8 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, vec_id: str = "ve
     i, v = F.col(vec_id), F.col(embedding)
     usable = embeddings.where(i.isNotNull() & finite(v))
     vectors = usable.select(i.cast("long").alias("vec_id"), quantise(v).alias("v"))
-    asking = materialise(usable.where(is_query).groupBy(i.cast("long").alias("vec_id")).agg(F.min(quantise(v)).alias("v")), "queries")
-    blocks = max(1, -(-asking.count() // QUERIES))
-    dealt = asking.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        block = [(r["vec_id"], r["v"]) for r in dealt.where(F.col("_block") == b).collect()]  # of bounded size
-        part = best_of(vectors, block, k)
-        if blocks > 1:
-            part = materialise(part, "best")
-        found = part if found is None else found.union(part)
+    queries = usable.where(is_query).groupBy(i.cast("long").alias("vec_id")).agg(F.min(quantise(v)).alias("v"))
+    found = best_of(vectors, materialise_at(queries, "queries"), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,15 +1,17 @@
 """WARC archives: write, normalise from one gzip stream a file to one gzip member a record with an offset index, read back.
 
 `write` makes archives as crawlers often leave them, a single gzip stream each. `normalise` inflates each stream once, front to back, rewrites every
-record as a member of its own and leaves an index beside the archive (a line a record: offset, length, type, record id, target).
-`read` takes members by the index alone. Archives are closed at ARCHIVE_BYTES of records, so that no task holds more than one of that size.
+record as a member of its own and writes a sidecar index beside the archive (a line a record: offset, length, type, record id, target).
+`read` goes by the sidecars: a task opens the archives that it is given itself and takes each member by its place. What passes between tasks are
+the archives' names; their bytes are neither shuffled nor collected. Archives are closed at ARCHIVE_BYTES of records.
 Records whose payloads are equal and of at least `least` bytes are stored once: the smallest id is the response, the others are revisits of it.
 
-Files are written under another name and then moved; a repeated or lost task writes the same names again, whole. Paths may be of any store
-that both Spark and pyarrow.fs know (file, hdfs, s3, gs).
+Each attempt of a task writes files of its own names, and only those are read that a finished task has listed: what a lost, repeated or
+speculative task has left does no harm. Paths may be of any store that both Spark and pyarrow.fs know (file, hdfs, s3, gs).
 
 Cases: a null html is an empty payload; a null url has no target header; a null page_id is written as such, and is nobody's response but its own;
-rows that repeat a response's id and payload are responses too; very long payloads make an archive of their own; no pages make no archive.
+rows that repeat a response's id and payload are responses too; very long payloads make an archive of their own, and a task holds one record at a
+time; no pages make no archive.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import join_groups, materialise, new_path, table
+from quillon.llm.common import join_groups, materialise, new_path, open_folder, table
 
 ARCHIVE_BYTES = 16_000_000
 LEVEL = 4
 ID = "urn:quillon:page:"
 FILES = "name string, records long, bytes long"
-INDEX = "name string, start long, length long, record_type string, record_id string, target string"
+INDEX = "start long, length long, record_type string, record_id string, target string"
+#: Tasks, at most, over which archives are dealt; bytes read at a time.
+MOST_TASKS, STEP = 10_000, 1 << 18
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
 
 
@@ -80,117 +84,139 @@ def records(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("an archive ends within a record")
 
 
-def inflate(content: bytes, step: int = 1 << 18) -> Iterator[bytes]:
-    """A file of one or more gzip members, some bytes at a time."""
-    left = memoryview(content)
-    while len(left):
-        d = zlib.decompressobj(31)
-        data = left[:step]
-        at = len(data)
-        while True:
+def inflate(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """A file of one or more gzip members, given and returned some bytes at a time."""
+    d = None
+    for data in pieces:
+        while data:
+            d = d or zlib.decompressobj(31)
             yield d.decompress(data)
-            if d.eof or at >= len(left):
-                break
-            data = left[at : at + step]
-            at += len(data)
-        if not d.eof:
-            raise ValueError("an archive is cut short")
-        left = left[at - len(d.unused_data) :]
-
+            data = d.unused_data
+            if d.eof:
+                d = None
+    if d is not None:
+        raise ValueError("an archive is cut short")
 
-def _put(folder: str, name: str, data: bytes) -> None:
-    from pyarrow.fs import FileSystem
 
-    fs, path = FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
-    attempt = f"{path}/.{name}.{TaskContext.get().taskAttemptId()}"
-    with fs.open_output_stream(attempt, compression=None) as f:
-        f.write(data)
-    fs.move(attempt, f"{path}/{name}")
+def _file_rows(names: list[str], records: list[int], sizes: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(records, pa.int64()), pa.array(sizes, pa.int64())], names=["name", "records", "bytes"])
 
 
 def write(planned: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Archives of one gzip stream each; FILES of them."""
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count, out, size, rows = TaskContext.get().partitionId(), 0, None, 0, 0
+        fs, at = open_folder(folder)
+        fs.create_dir(at, recursive=True)
+        part, attempt, count, file, rows, size = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, None, 0, 0
 
-        def close():
-            name = f"part-{part:06d}-{count:05d}.warc.gz"
-            done.append(out[0].flush())
-            _put(folder, name, b"".join(done))
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows], pa.int64()), pa.array([sum(map(len, done))], pa.int64())], names=["name", "records", "bytes"])
+        def close() -> pa.RecordBatch:
+            file.write(z.flush())
+            total = file.tell()
+            file.close()
+            return _file_rows([name], [rows], [total])
 
-        done: list[bytes] = []
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to")]
             for i in range(batch.num_rows):
                 page_id, url, html, digest, refers_to = (c[i].as_py() for c in columns)
-                if out is None:
-                    out, size, rows, done = [zlib.compressobj(LEVEL, zlib.DEFLATED, 31)], 0, 0, []
+                if file is None:
+                    name = f"part-{part:06d}-{count:05d}-{attempt}.warc.gz"
+                    file, z, rows, size = fs.open_output_stream(f"{at}/{name}", compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, 0
                 data = record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers_to, date)
-                done.append(out[0].compress(data))
+                file.write(z.compress(data))
                 size, rows = size + len(data), rows + 1
                 if size >= ARCHIVE_BYTES:
                     yield close()
-                    out, count = None, count + 1
-        if out is not None:
+                    file, count = None, count + 1
+        if file is not None:
             yield close()
 
     return materialise(planned.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(written, FILES), "archives")
 
 
-def _contents(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """(name, content) of the archives that are listed."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return found.join(files.select("name").distinct(), "name", "left_semi")
+def _dealt(files: DataFrame) -> DataFrame:
+    """The names of archives, some to each task."""
+    return files.select("name").repartition(max(1, min(files.count(), MOST_TASKS)), "name")
 
 
-def normalise(spark: SparkSession, folder: str, files: DataFrame, to: str) -> DataFrame:
-    """Archives of one member a record, with an index file beside each; INDEX of them."""
+def _sidecar(name: str) -> str:
+    return name.replace(".warc.gz", ".index")
 
-    def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                name, out, rows, at = batch.column(0)[i].as_py(), [], [], 0
-                for own, whole in records(inflate(batch.column(1)[i].as_buffer())):
-                    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                    member = z.compress(whole) + z.flush()
-                    rows.append((name, at, len(member), own["WARC-Type"], own["WARC-Record-ID"].strip("<>"), own.get("WARC-Target-URI")))
-                    out.append(member)
-                    at += len(member)
-                _put(to, name, b"".join(out))
-                _put(to, name.replace(".warc.gz", ".index"), "".join("\t".join(str(x) for x in r[1:]) + "\n" for r in rows).encode("utf-8", "surrogatepass"))
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["name", "start", "length", "record_type", "record_id", "target"])
 
-    return materialise(_contents(spark, folder, files).mapInArrow(rewritten, INDEX), "index")
+def normalise(spark: SparkSession, folder: str, files: DataFrame, to: str) -> DataFrame:
+    """Archives of one member a record, with a sidecar index beside each; FILES of them."""
 
+    def pieces(file) -> Iterator[bytes]:
+        while data := file.read(STEP):
+            yield data
 
-def read(spark: SparkSession, folder: str, index: DataFrame, keep_payload: bool = False) -> DataFrame:
-    """RECORDS by the index: each member is taken by its place alone. A response's digest and length are those of what was read."""
+    def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (fs, source), (out_fs, target), attempt = open_folder(folder), open_folder(to), TaskContext.get().taskAttemptId()
+        out_fs.create_dir(target, recursive=True)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                own, count, at = name.replace(".warc.gz", f"-{attempt}.warc.gz"), 0, 0
+                with fs.open_input_stream(f"{source}/{name}", compression=None) as file, out_fs.open_output_stream(f"{target}/{own}", compression=None) as out, out_fs.open_output_stream(f"{target}/{_sidecar(own)}", compression=None) as index:
+                    for head, whole in records(inflate(pieces(file))):
+                        z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                        member = z.compress(whole) + z.flush()
+                        line = (at, len(member), head["WARC-Type"], head["WARC-Record-ID"].strip("<>"), head.get("WARC-Target-URI", ""))
+                        index.write(("\t".join(map(str, line)) + "\n").encode("utf-8", "surrogatepass"))
+                        out.write(member)
+                        at, count = at + len(member), count + 1
+                yield _file_rows([own], [count], [at])
+
+    return materialise(_dealt(files).mapInArrow(rewritten, FILES), "records")
+
+
+def index(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+    """INDEX of the archives listed, from their sidecars, with the archive's name."""
+    rows = spark.read.schema(INDEX).option("sep", "\t").option("quote", "").option("pathGlobFilter", "*.index").csv(folder)
+    named = rows.select(F.regexp_replace("_metadata.file_name", r"\.index$", ".warc.gz").alias("name"), "*")
+    return named.join(files.select("name"), "name", "left_semi")
+
+
+def read(spark: SparkSession, folder: str, files: DataFrame, keep_payload: bool = False) -> DataFrame:
+    """RECORDS by the sidecars: each member is taken by its place alone. A response's digest and length are those of what was read."""
+
+    def number(x: str | None) -> int | None:
+        own = None if x is None else x.strip("<>").removeprefix(ID)
+        return None if own in (None, "None") else int(own)
+
+    def parsed(whole: bytes) -> tuple:
+        cut = whole.index(b"\r\n\r\n")
+        own = headers(whole[:cut])
+        block = whole[cut + 4 : -4]
+        end = block.index(b"\r\n\r\n")
+        http, payload = headers(block[:end]), block[end + 4 :]
+        size, digest = int(http["Content-Length"]), own["WARC-Payload-Digest"].removeprefix("sha256:")
+        if own["WARC-Type"] == "response" and (len(payload), hashlib.sha256(payload).hexdigest()) != (size, digest):
+            raise ValueError(f"{own['WARC-Record-ID']} has not the payload that its headers tell of")
+        return number(own["WARC-Record-ID"]), size, digest, own["WARC-Type"], number(own.get("WARC-Refers-To")), payload.decode("utf-8", "surrogatepass") if keep_payload else None
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: None if x is None or x.strip("<>").removeprefix(ID) == "None" else int(x.strip("<>").removeprefix(ID))
+        fs, source = open_folder(folder)
         for batch in batches:
-            for i in range(batch.num_rows):
-                content, rows = memoryview(batch.column(0)[i].as_buffer()), []
-                for m in batch.column(1)[i].as_py():
-                    whole = zlib.decompress(content[m["start"] : m["start"] + m["length"]], 31)
-                    cut = whole.index(b"\r\n\r\n")
-                    own = headers(whole[:cut])
-                    block = whole[cut + 4 : -4]
-                    end = block.index(b"\r\n\r\n")
-                    http, payload = headers(block[:end]), block[end + 4 :]
-                    size, digest = int(http["Content-Length"]), own["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if own["WARC-Type"] == "response" and (len(payload), hashlib.sha256(payload).hexdigest()) != (size, digest):
-                        raise ValueError(f"{own['WARC-Record-ID']} has not the payload that its headers tell of")
-                    rows.append((number(own["WARC-Record-ID"]), size, digest, own["WARC-Type"], number(own.get("WARC-Refers-To")), payload.decode("utf-8", "surrogatepass") if keep_payload else None))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-
-    each = index.groupBy("name").agg(F.collect_list(F.struct("start", "length")).alias("members"))  # of one archive
-    return _contents(spark, folder, index).join(each, "name").select("content", "members").mapInArrow(taken, RECORDS)
+            for name in batch.column(0).to_pylist():
+                rows, held = [], 0
+                with fs.open_input_file(f"{source}/{name}") as file, fs.open_input_stream(f"{source}/{_sidecar(name)}", compression=None) as lines:
+                    for line in lines.read().splitlines():
+                        start, length = map(int, line.split(b"\t", 2)[:2])
+                        file.seek(start)
+                        whole = zlib.decompress(file.read(length), 31)
+                        rows.append(parsed(whole))
+                        held += len(whole) if keep_payload else 200
+                        if held > ARCHIVE_BYTES:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                yield batch_of(rows)
+
+    return _dealt(files).mapInArrow(taken, RECORDS)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -200,8 +226,7 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     files = write(plan_records(pages), f"{folder}/raw")
     if files.isEmpty():
         return spark.createDataFrame([], RECORDS)
-    index = normalise(spark, f"{folder}/raw", files, f"{folder}/records")
-    return read(spark, f"{folder}/records", index)
+    return read(spark, f"{folder}/records", normalise(spark, f"{folder}/raw", files, f"{folder}/records"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -668,3 +668,69 @@ def test_suffix_dedup_with_columns_of_its_own_names(spark):
     frame = spark.createDataFrame([(1, text, 5, "a", 7), (2, text, 6, "b", 8)], "doc_id long, text string, doc int, spans string, row int")
     kept = {r.doc_id: r for r in suffix_dedup.deduplicate(frame).collect()}
     assert kept[1].text == text and kept[2].text == "" and (kept[2].doc, kept[2].spans, kept[2].row) == (6, "b", 8)
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(0, [3e7, 1.0]), (1, [1e300, -5.0]), (2, [2.5, 7.25]), (50, [-1e12, 3.0]), (51, [0.0, 0.0]), (100, [1.5, -2.5]), (52, [1.7e308, 1.0]), (53, [1e6, 1e6])]
+    got = {tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()}
+    most = (1 << 63) - 1
+    whole = lambda x: int(np.floor(256 * x)) if abs(256 * x) < 1.7e308 else int(1.7e308) * (1 if x > 0 else -1)
+    vectors = {i: [whole(x) for x in v] for i, v in rows}
+    expected = set()
+    for q in (0, 50, 100):
+        scored = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(vectors[q], v, strict=True)))), i) for i, v in vectors.items() if i != q)[:5]
+        expected |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)}
+    assert got == expected
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_possible_members_hold_the_best(seed, monkeypatch):
+    monkeypatch.setattr(topk, "FEW", 4)
+    rng = np.random.default_rng(seed)
+    n, d, k = int(rng.integers(1, 200)), int(rng.integers(0, 20)), 5
+    vectors = np.floor(rng.normal(size=(n, d)) * rng.choice([0, 1, 40, 900]))
+    if n > 20:
+        vectors[:15] = vectors[15]
+    index = topk.Index(vectors)
+    for _ in range(20):
+        query = np.floor(rng.normal(size=d) * rng.choice([0, 3, 500]))
+        own = np.flatnonzero(rng.random(n) < 0.05)
+        scores = vectors @ query
+        wanted = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i not in own)[:k]
+        members = set(topk.search(index, query, own, k).tolist())
+        assert {i for _, i in wanted} <= members and not members & set(own.tolist())
+
+
+def test_most_queries_stop_on_proof():
+    """Near neighbours stand out: what is left for exact scoring is few, and part of the postings is never taken."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 32))
+    vectors = np.floor(256 * (np.repeat(centres, 12, axis=0) + 0.1 * rng.normal(size=(2400, 32))))
+    index = topk.Index(vectors)
+    sizes = [len(topk.search(index, vectors[i], np.array([i]), 5)) for i in range(0, 2400, 50)]
+    assert np.mean(np.array(sizes) <= topk.FEW) > 0.9
+
+
+def test_warc_reads_what_finished_tasks_have_listed(spark, tmp_path, monkeypatch):
+    """Leftovers of a repeated task, whole or cut short, do no harm; the sidecars lead to every record."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    pages = [(i, f"http://h/{i}", "<p>" + "x" * (50 + i % 7 * 40)) for i in range(60)]
+    planned = warc.plan_records(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3))
+    raw, to = str(tmp_path / "raw"), str(tmp_path / "records")
+    first = warc.write(planned, raw)
+    again = warc.write(planned, raw)
+    names = [{r.name for r in x.collect()} for x in (first, again)]
+    assert len(names[0]) > 3 and not names[0] & names[1]
+    for name in names[0]:
+        (tmp_path / "raw" / name).write_bytes(b"\x1f\x8b cut short")
+    warc.normalise(spark, raw, again, to)
+    files = warc.normalise(spark, raw, again, to)
+    got = warc.read(spark, to, files, keep_payload=True).collect()
+    assert sorted(r.page_id for r in got) == list(range(60))
+    assert all(r.payload == pages[r.page_id][2] for r in got if r.record_type == "response")
+    index = warc.index(spark, to, files).collect()
+    assert len(index) == 60 and {r.record_id for r in index} == {f"{warc.ID}{i}" for i in range(60)}
+    assert len(list((tmp_path / "records").glob("*.index"))) == 2 * files.count()
+    r = index[0]
+    whole = zlib.decompress((tmp_path / "records" / r.name).read_bytes()[r.start : r.start + r.length], 31)
+    assert whole.startswith(b"WARC/1.1") and r.record_id.encode() in whole
