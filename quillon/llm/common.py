@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,15 +29,43 @@ def words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    """A folder that the driver and all executors see: spark.checkpoint.dir, or one in the warehouse where that is unset.
+
+    A warehouse on the machine's own disk is seen by all only if there is one machine: on a cluster it is refused.
+    """
     kept = spark.conf.get("spark.checkpoint.dir", None)
     if not kept:
         kept = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillon_shared"
+        scheme = spark._jvm.org.apache.hadoop.fs.Path(kept).getFileSystem(spark._jsc.hadoopConfiguration()).getScheme()
+        if scheme == "file" and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return kept.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder within is deleted at the end: to be put around making a result and writing it elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def materialise_at(df: DataFrame, name: str) -> str:
@@ -72,10 +102,8 @@ def open_folder(path: str):
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that no later step reads."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, total: int, spread: Column, how: str = "inner") -> DataFrame:

@@ -6,14 +6,16 @@
    off ends it, else the full sets decide. Confirmed links give components.
 3. A bucket whose members are then of several components may hide links between members. All pairs of such texts over
    components are sought by exact prefix and position filters on their shingles, and what passes is checked like before. So a
-   large group of copies gives no square of pairs, and no link between its members is lost.
+   large group of copies gives no square of pairs, and no link between its members is lost. This adds links to those of the bands: all
+   links are between texts that share a band with some text, and a text that shares none is not looked at again.
 4. Components of all links, then each class's rows.
 
 With 28 bands of 5 minima a pair at similarity 0.85 is missed by all bands with probability 7e-8, at 0.80 with 1.5e-5. The signature check lets
 pass what lies within six standard deviations.
 
 Cases: null and empty texts have an empty set, no link, themselves as component; fewer words than a shingle has: the whole
-sequence is one shingle; repeated rows and equal ids are one document, each row of which is returned; a null doc_id is linked
+sequence is one shingle; repeated rows and equal ids are one document, each row of which is returned with its own set's size, and which is linked
+by any of its texts if these differ; a null doc_id is linked
 with nothing, its component is null and it is kept; very long texts are hashed in blocks; an empty table gives an empty result.
 """
 
@@ -38,6 +40,8 @@ MEMO_WORDS = 400_000
 BLOCK = 8192
 #: Cells of the sketch of shingle frequencies.
 CELLS = 1 << 20
+#: Texts of a block of a frequent shingle, and blocks at most: how finely its pairs are dealt over tasks, not which are looked at.
+BLOCK_ROWS, MOST_BLOCKS = 4096, 256
 
 
 class _Memo(dict):
@@ -88,7 +92,7 @@ def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, copy_key, bands, signature) of (doc_id, text)."""
+    """(doc_id, n_shingles, copy_key, bands, signature, text_hash) of (doc_id, text)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, (a, b) = _Memo(), _functions(bands * rows)
@@ -114,15 +118,16 @@ def sign(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataF
                     x = _mix(x + c)
                 band.append(x.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                names=["doc_id", "n_shingles", "copy_key", "bands", "signature"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary()), batch.column(2)],
+                names=["doc_id", "n_shingles", "copy_key", "bands", "signature", "text_hash"],
             )
 
-    return docs.mapInArrow(hashed, "doc_id long, n_shingles long, copy_key binary, bands array<long>, signature binary")
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return own.mapInArrow(hashed, "doc_id long, n_shingles long, copy_key binary, bands array<long>, signature binary, text_hash long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) with den * intersection >= num * union of their full sets; texts: (node, text, signature)."""
+    """The pairs (a, b) with den * intersection >= num * union of their full sets; texts: (node, text, signature, text_hash)."""
     t = num / den
     slack = SIGMAS * (t * (1 - t) / (BANDS * ROWS)) ** 0.5
     least = int((t - slack) * BANDS * ROWS)
@@ -131,7 +136,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
         last, own = None, set()
         for batch in batches:
             keep = []
-            a, b = batch.column("a").to_pylist(), batch.column("b")
+            a, b = list(zip(batch.column("a").to_pylist(), batch.column("ha").to_pylist(), strict=True)), batch.column("b")
             sa, sb, ta, tb = (batch.column(c) for c in ("sa", "sb", "ta", "tb"))
             for i, x in enumerate(a):
                 p, q = np.frombuffer(sa[i].as_py(), np.uint8), np.frombuffer(sb[i].as_py(), np.uint8)
@@ -145,8 +150,8 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    side = lambda n, x: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{x}"), F.col("signature").alias(f"s{x}"))
-    return pairs.join(side("b", "b"), "b").join(side("a", "a"), "a").select("a", "b", "sa", "sb", "ta", "tb").mapInArrow(held, "a long, b long")
+    side = lambda n, x: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{x}"), F.col("signature").alias(f"s{x}"), F.col("text_hash").alias(f"h{x}"))
+    return pairs.join(side("b", "b"), "b").join(side("a", "a"), "a").select("a", "b", "ha", "sa", "sb", "ta", "tb").mapInArrow(held, "a long, b long")
 
 
 def frequencies(texts: DataFrame, k: int) -> np.ndarray:
@@ -204,11 +209,13 @@ def pairs_over_components(texts: DataFrame, component: DataFrame, k: int, num: i
     first = prefixes(texts, frequencies(texts, k), k, num, den)
     placed = materialise(first.join(component, "node"), "prefixes")
     mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low != high").drop("high")
-    rows = materialise(join_groups(placed, mixed, ["h"], "c", placed.count(), F.col("node")).drop("c"), "mixed")
-    # A pair over components has a side outside the lowest one.
-    x, y = rows.where("component != low").alias("x"), rows.alias("y")
+    rows = materialise(join_groups(placed, mixed, ["h"], "c", placed.count(), F.col("node")), "mixed")
+    # A pair over components has a side outside the lowest one. A shingle of many texts is dealt by blocks: each task has one block of them for x.
+    parts = F.least(F.ceil(F.col("c") / BLOCK_ROWS), F.lit(MOST_BLOCKS)).cast("int")
+    x = rows.where("component != low").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).alias("x")
+    y = rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
     rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
-    on = (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & (rest * (num + den) >= (F.col("x.n") + F.col("y.n")) * num)
+    on = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component")) & (rest * (num + den) >= (F.col("x.n") + F.col("y.n")) * num)
     return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -219,15 +226,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     with_set = signed.where("copy_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = with_set.groupBy("copy_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     total = with_set.count()
-    member = materialise(join_groups(with_set, classes, ["copy_key"], "n", total, F.col("doc_id")).select("doc_id", "rep", "n_shingles", "bands", "signature"), "member")
-    nodes = member.where("doc_id = rep").select(F.col("rep").alias("node"), "n_shingles", "bands", "signature").dropDuplicates(["node"])
+    member = materialise(join_groups(with_set, classes, ["copy_key"], "n", total, F.col("doc_id")).select("doc_id", "rep", "n_shingles", "bands", "signature", "text_hash"), "member")
+    nodes = member.where("doc_id = rep").select(F.col("rep").alias("node"), "n_shingles", "bands", "signature", "text_hash").dropDuplicates(["node", "text_hash"])
 
     banded = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
     buckets = banded.groupBy("band", "hash").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = materialise(join_groups(banded, buckets, ["band", "hash"], "n", BANDS * total, F.col("node")), "shared")
     involved = shared.select("node").distinct()
     texts = materialise(
-        docs.withColumnRenamed("doc_id", "node").join(involved, "node").join(nodes.select("node", "n_shingles", "signature"), "node").dropDuplicates(["node"]), "texts"
+        docs.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("text_hash"))
+        .join(involved, "node")
+        .join(nodes.select("node", "text_hash", "n_shingles", "signature"), ["node", "text_hash"])
+        .dropDuplicates(["node", "text_hash"]),
+        "texts",
     )
     star = shared.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = materialise(verify(star, texts, k, num, den), "links")
@@ -249,9 +260,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 
 def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each group; same columns. Repeated rows of it stay one row; rows without an id all stay."""
-    keep = near_duplicates(docs, k, num, den).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group; same columns, whatever their names. Repeated rows of it stay one row; rows without an id all stay."""
+    keep = near_duplicates(docs, k, num, den).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return named.union(docs.where("doc_id IS NULL"))
 
 

@@ -26,6 +26,7 @@ from quillon.llm.common import SPACE, table, words
 #: Fixed notices that carry no content, as patterns on a lower-cased line.
 BOILERPLATE = r"^\W*(all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings)|accept (all )?cookies|skip to (main )?content|subscribe to our newsletter|back to top|share this( page| article)?)\W*$"
 SYMBOLS = r"[#*$%&|<>]"
+WORD = r"[^\x20\x09-\x0D]"
 #: Shortest line to which the repetition and punctuation rules apply, in words.
 LONG_LINE = 10
 #: Share of word characters that may go with failed lines, in per cent.
@@ -64,7 +65,7 @@ def line_fails(line: Column) -> Column:
 
 def text_lines(text: Column) -> Column:
     """The lines with a word."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(WORD))
 
 
 def repeated_words(w: Column, size: int = 8) -> Column:
@@ -100,49 +101,65 @@ def repeated_words(w: Column, size: int = 8) -> Column:
     return F.when(n <= size, F.lit(0)).when(no_repeat, F.lit(0)).otherwise(let(windows, covered))
 
 
-def quality_columns(text: Column) -> Column:
-    """Struct of the base measures, the verdict and the lines that stay."""
+def _judged(text: Column, fields) -> Column:
+    """fields(words, lines with a word, words in repeated windows, base_failed) of a text, each computed once."""
 
     def by_words(w: Column) -> Column:
-        n = F.size(w)
-
         def by_lines(lines: Column) -> Column:
-            def verdict(repeated: Column) -> Column:
-                base_failed = (n < 20) | (repeated * 100 > n * 30)
-                good = F.filter(lines, lambda x: ~line_fails(x))
-                lost = lambda g: joined_length(F.flatten(F.transform(g, words))) * 100 >= joined_length(w) * (100 - MOST_LOST)
-                return F.struct(
-                    n.cast("long").alias("n_words"),
-                    joined_length(w).cast("long").alias("word_chars"),
-                    F.coalesce(F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, "")), F.lit(0)).cast("long").alias("n_symbols"),
-                    (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-                    repeated.cast("long").alias("n_repeat_words"),
-                    base_failed.alias("base_failed"),
-                    F.when(base_failed, F.lit(False)).otherwise(let(good, lost)).alias("kept"),
-                )
-
-            return let(repeated_words(w), verdict)
+            return let(repeated_words(w), lambda r: fields(w, lines, r, (F.size(w) < 20) | (r * 100 > F.size(w) * 30)))
 
         return let(text_lines(text), by_lines)
 
     return let(words(text), by_words)
 
 
+def _enough(good: Column, w: Column) -> Column:
+    """Whether the good lines hold enough of the text's word characters."""
+    return joined_length(F.flatten(F.transform(good, words))) * 100 >= joined_length(w) * (100 - MOST_LOST)
+
+
+def quality_columns(text: Column) -> Column:
+    """Struct of the base measures and the verdict."""
+
+    def fields(w: Column, lines: Column, repeated: Column, base_failed: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            joined_length(w).cast("long").alias("word_chars"),
+            F.coalesce(F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, "")), F.lit(0)).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            repeated.cast("long").alias("n_repeat_words"),
+            base_failed.alias("base_failed"),
+            F.when(base_failed, F.lit(False)).otherwise(let(F.filter(lines, lambda x: ~line_fails(x)), lambda g: _enough(g, w))).alias("kept"),
+        )
+
+    return _judged(text, fields)
+
+
 def measure(docs: DataFrame, text: str = "text", into: str = "quality") -> DataFrame:
-    """Adds the struct column `into`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
+    """Adds the struct column `into`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept. A column of that name is replaced."""
     return docs.withColumn(into, quality_columns(F.col(text)))
 
 
-def clean(text: Column) -> Column:
-    """The text without its failed lines; lines without a word stay."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x))), "\n")
+def cleaned(text: Column) -> Column:
+    """The text without its failed lines, or null if it is rejected; lines without a word stay. Each line is judged once."""
+
+    def fields(w: Column, lines: Column, repeated: Column, base_failed: Column) -> Column:
+        judged = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.when(~x.rlike(WORD), 0).when(line_fails(x), 2).otherwise(1).alias("is")))
+        pick = lambda j, test: F.transform(F.filter(j, lambda x: test(x["is"])), lambda x: x["line"])
+        left = lambda j: F.when(_enough(pick(j, lambda k: k == 1), w), F.array_join(pick(j, lambda k: k < 2), "\n"))
+        return F.when(base_failed, F.lit(None)).otherwise(let(judged, left))
+
+    return _judged(text, fields)
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with failed lines removed from their text; same columns."""
-    kept = docs.where(quality_columns(F.col("text"))["kept"])
-    cleaned = kept.withColumn("text", clean(F.col("text")))
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cleaned
+    """The documents that are kept, with failed lines removed from their text; same columns.
+
+    The cleaned text is exploded from an array of one or none: a filter on it would compute it again.
+    """
+    own = docs.select(F.struct("*").alias("row"), F.explode(F.filter(F.array(cleaned(F.col("text"))), lambda x: x.isNotNull())).alias("text"))
+    of = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return own.select(*[of.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,19 @@
 """Token counts of a unigram tokenizer by dynamic programming shared over a trie.
 
-Distinct pre-tokens (a word with the mark of a word's start before it) are walked as a trie: in sorted order each shares its longest
-common prefix with the one before, and the forward scores of that prefix are not computed again. A node holds the best
-score of any segmentation of its prefix and its number of tokens; a word's end gives the word's count, which is remembered.
-Documents are read once and nothing is shuffled; what a worker remembers is bounded and never changes a result.
+Distinct pre-tokens (a word with the mark of a word's start before it) are inserted in a trie that lives as long as its worker, over all
+the documents that this reads. A node stands for a prefix and holds the best forward score of any segmentation of it and that
+segmentation's number of tokens; it is scored when it is made, from its ancestors, and never again. A word's end gives the word's count, which is
+kept as the terminal count. Documents are read once and nothing is shuffled; trie and counts are dropped together when they take more
+than MEMO_BYTES, which never changes a result.
 
-The vocabulary is a public one of 32,000 pieces. It has no unigram probabilities, so that these are taken from the rank by Zipf's law
-(parameter `shift`). A character that no piece covers costs UNKNOWN below the worst piece and counts as its UTF-8 bytes (byte fallback). Equal
-scores are settled for fewer tokens.
+The vocabulary is a public one of 32,000 pieces. It has no unigram probabilities, so that these are made up from a piece's rank by Zipf's law
+(parameter `shift`): the counts are those of no published tokenizer. A caller who has logarithms of real probabilities gives them (`scores`). A
+character that no piece covers costs UNKNOWN below the worst piece and counts as its UTF-8 bytes (byte fallback). Equal scores are settled for
+fewer tokens.
 
 Cases: null and empty texts, and texts of white space, have no words and no tokens; repeated rows are counted alike, each on its own; null ids
-stay; words of any length are walked without recursion; an empty table gives an empty result. Other columns are not read.
+stay; words of any length are walked without recursion, those over LONG_WORD characters without nodes of their own, as nothing else begins
+like them; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ from quillon.llm.packing import slices
 
 START = "▁"
 UNKNOWN = 10.0
-#: Words remembered with their count in a worker.
-MEMO_WORDS = 700_000
+#: Bytes, about, that a worker's trie and counts may take; what a node and a word's count take besides its letters.
+MEMO_BYTES, NODE_BYTES, WORD_BYTES = 250_000_000, 200, 130
+LONG_WORD = 200
 COUNTS = "doc_id long, n_words long, n_tokens long"
 
 
@@ -60,39 +64,71 @@ class Counter:
         self.scores = scores
         self.longest = max(map(len, scores))
         self.unknown = min(scores.values()) - UNKNOWN
+        self.forget()
+
+    def forget(self) -> None:
+        # Of node i: best[i] and tokens[i]; child[i << 21 | letter] is the node after another letter.
+        self.child: dict[int, int] = {}
+        self.best, self.tokens = [0.0], [0]
         self.known: dict[str, int] = {"": 0}
+        self.bytes = 0
+
+    def _scored(self, text: str, end: int, best: list[float], tokens: list[int], first: int) -> tuple[float, int]:
+        """Forward score and tokens of text[:end]; best and tokens: those of the prefixes from text[:first] on."""
+        get = self.scores.get
+        top, count = best[end - 1 - first] + self.unknown, tokens[end - 1 - first] + len(text[end - 1].encode("utf-8", "surrogatepass"))
+        for start in range(max(0, end - self.longest), end):
+            s = get(text[start:end])
+            if s is not None:
+                s += best[start - first]
+                if s > top or (s == top and tokens[start - first] + 1 < count):
+                    top, count = s, tokens[start - first] + 1
+        return top, count
+
+    def _alone(self, text: str) -> int:
+        """Tokens of a long text, of which only the last prefixes' scores are held."""
+        best, tokens, first, keep = [0.0], [0], 0, 64 * self.longest
+        for end in range(1, len(text) + 1):
+            top, count = self._scored(text, end, best, tokens, first)
+            best.append(top)
+            tokens.append(count)
+            if len(best) > 2 * keep:
+                del best[:-keep], tokens[:-keep]
+                first = end + 1 - keep
+        return tokens[-1]
 
     def walk(self, words: list[str]) -> None:
-        """Counts of sorted distinct words, each prefix scored once."""
-        get, longest, known = self.scores.get, self.longest, self.known
-        best, tokens, last = [0.0], [0], ""
+        """Terminal counts of distinct words; each prefix is scored once."""
+        child, best, tokens, known = self.child, self.best, self.tokens, self.known
         for word in words:
             text = START + word
-            shared, most = 0, min(len(last), len(text))
-            while shared < most and last[shared] == text[shared]:
-                shared += 1
-            del best[shared + 1 :], tokens[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
-                top, count = best[end - 1] + self.unknown, tokens[end - 1] + len(text[end - 1].encode("utf-8", "surrogatepass"))
-                for start in range(max(0, end - longest), end):
-                    s = get(text[start:end])
-                    if s is not None:
-                        s += best[start]
-                        if s > top or (s == top and tokens[start] + 1 < count):
-                            top, count = s, tokens[start] + 1
-                best.append(top)
-                tokens.append(count)
-            known[word] = tokens[-1]
-            last = text
+            if len(word) > LONG_WORD:
+                known[word] = self._alone(text)
+            else:
+                node, path = 0, [0]
+                for end, letter in enumerate(text, 1):
+                    key = node << 21 | ord(letter)
+                    node = child.get(key, 0)
+                    if not node:
+                        first = max(0, end - self.longest)
+                        own = path[first:]
+                        score, count = self._scored(text, end, [best[i] for i in own], [tokens[i] for i in own], first)
+                        node = child[key] = len(best)
+                        best.append(score)
+                        tokens.append(count)
+                        self.bytes += NODE_BYTES
+                    path.append(node)
+                known[word] = tokens[node]
+            self.bytes += WORD_BYTES + 2 * len(word)
 
     def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of words and of tokens of each text."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) > MEMO_WORDS:
-            self.known = {"": 0}
-        self.walk(sorted(w for w in words if w not in self.known))
+        if self.bytes > MEMO_BYTES:
+            self.forget()
+        self.walk([w for w in words if w not in self.known])
         of = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         word = np.array([w != "" for w in words], np.int64)[coded.indices.to_numpy()]
         at = split.offsets.to_numpy() - split.offsets[0].as_py()
@@ -106,12 +142,12 @@ def counter(path: str, shift: float) -> Counter:
     return Counter(zipf_scores(read_pieces(path), shift))
 
 
-def count_tokens(docs: DataFrame, vocabulary: str | None = None, shift: float = 2.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_tokens) of each row."""
-    path = vocabulary or default_vocabulary()
+def count_tokens(docs: DataFrame, vocabulary: str | None = None, shift: float = 2.7, doc_id: str = "doc_id", text: str = "text", scores: dict[str, float] | None = None) -> DataFrame:
+    """(doc_id, n_words, n_tokens) of each row. scores: logarithms of the probabilities of pieces, instead of a vocabulary file's ranks."""
+    path = None if scores else vocabulary or default_vocabulary()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path, shift)
+        own = Counter(scores) if scores else counter(path, shift)
         for batch in batches:
             for part in slices(batch, batch.column(1)):
                 words, tokens = own.count(part.column(1))

@@ -734,3 +734,71 @@ def test_warc_reads_what_finished_tasks_have_listed(spark, tmp_path, monkeypatch
     r = index[0]
     whole = zlib.decompress((tmp_path / "records" / r.name).read_bytes()[r.start : r.start + r.length], 31)
     assert whole.startswith(b"WARC/1.1") and r.record_id.encode() in whole
+
+
+def test_an_id_with_two_texts_is_linked_by_either(spark):
+    rng = random.Random(6)
+    one, two = prose(rng, 90), prose(rng, 90)
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (4, two), (5, prose(rng, 90))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 5)]
+
+
+def test_pairs_of_a_frequent_shingle_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 3)
+    test_pairs_over_components_loses_no_link(spark)
+
+
+def test_each_prefix_is_scored_once_over_slices():
+    own = token_counts.Counter(token_counts.zipf_scores(token_counts.read_pieces(token_counts.default_vocabulary())))
+    calls = []
+    plain = own._scored
+    own._scored = lambda text, end, *rest: (calls.append(text[:end]), plain(text, end, *rest))[1]
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [prose(rng, 40) for _ in range(12)]
+    for at in range(0, 12, 3):
+        own.count(pa.array(texts[at : at + 3]))
+    words = {w for t in texts for w in t.split()}
+    prefixes = {(token_counts.START + w)[:n] for w in words for n in range(1, len(w) + 2)}
+    assert len(calls) == len(set(calls)) and set(calls) == prefixes
+
+
+def test_long_words_and_dropped_tries_count_alike(monkeypatch):
+    import pyarrow as pa
+
+    scores = token_counts.zipf_scores(token_counts.read_pieces(token_counts.default_vocabulary()))
+    rng = random.Random(10)
+    texts = [prose(rng, 30) + " " + "".join(rng.choice("abcdeé😀") for _ in range(n)) for n in (5, 199, 200, 201, 3000)]
+    plain = [tuple(x.tolist()) for x in token_counts.Counter(scores).count(pa.array(texts))]
+    monkeypatch.setattr(token_counts, "LONG_WORD", 1)
+    assert [tuple(x.tolist()) for x in token_counts.Counter(scores).count(pa.array(texts))] == plain
+    monkeypatch.setattr(token_counts, "LONG_WORD", 10**9)
+    monkeypatch.setattr(token_counts, "MEMO_BYTES", 0)
+    own = token_counts.Counter(scores)
+    assert [[own.count(pa.array([t]))[i][0] for t in texts] for i in (0, 1)] == [list(x) for x in plain]
+
+
+def test_token_counts_with_given_scores(spark):
+    frame = spark.createDataFrame([(1, "ab ab"), (2, "abc")], "doc_id long, text string")
+    scores = {"▁": -3.0, "a": -3.0, "b": -3.0, "▁ab": -1.0, "c": -2.0}
+    assert sorted(map(tuple, token_counts.count_tokens(frame, scores=scores).collect())) == [(1, 2, 2), (2, 1, 2)]
+
+
+def test_intermediates_are_deleted(spark, docs):
+    from pathlib import Path
+
+    with common.intermediates(spark):
+        path = common.materialise_at(docs.limit(3), "some")
+        assert Path(path.removeprefix("file:")).exists()
+    assert not Path(path.removeprefix("file:")).exists()
+
+
+def test_quality_filter_judges_as_measured(docs):
+    kept = quality.filter_documents(docs)
+    assert kept.columns == docs.columns
+    good = sorted(str(r.doc_id) for r in quality.measure(docs).where("quality.kept").collect())
+    assert sorted(str(r.doc_id) for r in kept.collect()) == good
+    odd = docs.withColumns({"row": F.lit(1), "col": F.lit("x")})
+    assert quality.filter_documents(odd).columns == odd.columns and quality.filter_documents(odd.where("false")).count() == 0
