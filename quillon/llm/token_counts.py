@@ -34,7 +34,7 @@ from quillon.llm.packing import slices
 START = "▁"
 UNKNOWN = 10.0
 #: Bytes, about, that a worker's trie and counts may take; what a node and a word's count take besides its letters.
-MEMO_BYTES, NODE_BYTES, WORD_BYTES = 250_000_000, 200, 130
+MEMO_BYTES, NODE_BYTES, WORD_BYTES = 350_000_000, 200, 130
 LONG_WORD = 200
 COUNTS = "doc_id long, n_words long, n_tokens long"
 
@@ -75,12 +75,12 @@ class Counter:
 
     def _scored(self, text: str, end: int, best: list[float], tokens: list[int], first: int) -> tuple[float, int]:
         """Forward score and tokens of text[:end]; best and tokens: those of the prefixes from text[:first] on."""
-        get = self.scores.get
+        scores = self.scores
         top, count = best[end - 1 - first] + self.unknown, tokens[end - 1 - first] + len(text[end - 1].encode("utf-8", "surrogatepass"))
         for start in range(max(0, end - self.longest), end):
-            s = get(text[start:end])
-            if s is not None:
-                s += best[start - first]
+            piece = text[start:end]
+            if piece in scores:
+                s = best[start - first] + scores[piece]
                 if s > top or (s == top and tokens[start - first] + 1 < count):
                     top, count = s, tokens[start - first] + 1
         return top, count
@@ -98,28 +98,34 @@ class Counter:
         return tokens[-1]
 
     def walk(self, words: list[str]) -> None:
-        """Terminal counts of distinct words; each prefix is scored once."""
-        child, best, tokens, known = self.child, self.best, self.tokens, self.known
+        """Terminal counts of sorted distinct words: each is walked from where it leaves the one before, and each prefix is scored once."""
+        child, best, tokens, known, scored = self.child, self.best, self.tokens, self.known, self._scored
+        path, own, counts, last = [0], [0.0], [0], ""  # nodes, scores and tokens of the prefixes of the last word
         for word in words:
             text = START + word
             if len(word) > LONG_WORD:
                 known[word] = self._alone(text)
-            else:
-                node, path = 0, [0]
-                for end, letter in enumerate(text, 1):
-                    key = node << 21 | ord(letter)
-                    node = child.get(key, 0)
-                    if not node:
-                        first = max(0, end - self.longest)
-                        own = path[first:]
-                        score, count = self._scored(text, end, [best[i] for i in own], [tokens[i] for i in own], first)
-                        node = child[key] = len(best)
-                        best.append(score)
-                        tokens.append(count)
-                        self.bytes += NODE_BYTES
-                    path.append(node)
-                known[word] = tokens[node]
-            self.bytes += WORD_BYTES + 2 * len(word)
+                self.bytes += WORD_BYTES + 2 * len(word)
+                continue
+            shared, most = 0, min(len(last), len(text))
+            while shared < most and last[shared] == text[shared]:
+                shared += 1
+            del path[shared + 1 :], own[shared + 1 :], counts[shared + 1 :]
+            node, made = path[-1], len(best)
+            for end in range(shared + 1, len(text) + 1):
+                key = node << 21 | ord(text[end - 1])
+                node = child.get(key, 0)
+                if not node:
+                    score, count = scored(text, end, own, counts, 0)
+                    node = child[key] = len(best)
+                    best.append(score)
+                    tokens.append(count)
+                path.append(node)
+                own.append(best[node])
+                counts.append(tokens[node])
+            known[word] = counts[-1]
+            last = text
+            self.bytes += NODE_BYTES * (len(best) - made) + WORD_BYTES + 2 * len(word)
 
     def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of words and of tokens of each text."""
@@ -128,7 +134,7 @@ class Counter:
         words = coded.dictionary.to_pylist()
         if self.bytes > MEMO_BYTES:
             self.forget()
-        self.walk([w for w in words if w not in self.known])
+        self.walk(sorted(w for w in words if w not in self.known))
         of = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         word = np.array([w != "" for w in words], np.int64)[coded.indices.to_numpy()]
         at = split.offsets.to_numpy() - split.offsets[0].as_py()
