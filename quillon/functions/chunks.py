@@ -34,3 +34,14 @@ def touched_chunks(offset: Column, length: Column, chunk: int = CHUNK_SIZE) -> C
         F.sequence(first, last),
         lambda i: F.struct(i.alias("index"), F.greatest(offset - i * step, F.lit(0)).alias("start"), (F.least(offset + length, (i + 1) * step) - F.greatest(offset, i * step)).alias("length")),
     ))
+
+
+def primary_hash(hash: Column, chunkhashes: Column) -> Column:
+    """A file's hash or that of its first chunk, '' if it has neither."""
+    return F.coalesce(hash, F.get(chunkhashes, F.lit(0)), F.lit(""))
+
+
+def block_key(hash: Column, chunkhashes: Column, offset: Column, chunk: int = CHUNK_SIZE) -> Column:
+    """The hash of the content that a byte of a file is in: of the whole file or of its chunk; null beyond the last."""
+    at = F.floor(offset / F.lit(chunk)).cast("int")
+    return F.when(hash.isNotNull(), hash).otherwise(F.get(chunkhashes, at))

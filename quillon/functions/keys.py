@@ -40,3 +40,44 @@ def from_metadata(metadata: Column) -> Column:
     """Struct of root and location; the JSON entry comes first."""
     coded = F.element_at(F.from_json(F.try_element_at(metadata, F.lit("asset-root-json")), "array<string>"), 1)
     return F.struct(F.coalesce(coded, F.try_element_at(metadata, F.lit("asset-root"))).alias("root"), F.try_element_at(metadata, F.lit("file-system-location-name")).alias("location"))
+
+
+def manifest_key(root: Column | str, prefix: Column | str, path: Column) -> Column:
+    return join_key(root, prefix, path)
+
+
+def input_manifest_key(prefix, farm, queue, guid, name) -> Column:
+    return join_key(prefix, farm, queue, "Inputs", guid, name)
+
+
+def output_manifest_key(prefix: str, farm, queue, job, step, time, session_action, name, task=None) -> Column:
+    """Key of a task's output manifest, or without a task a step's: its folder is named by time and session action."""
+    folder = F.concat_ws("_", time, session_action)
+    parts = [prefix, farm, queue, job, step, *([task] if task is not None else [])]
+    return join_key(*parts, folder, name)
+
+
+def partial_key(key: Column, prefix: str) -> Column:
+    """A key without a prefix and the slashes after it; other keys as they are."""
+    return F.when(key.startswith(prefix), F.regexp_replace(F.substr(key, F.lit(len(prefix) + 1)), "^/+", "")).otherwise(key)
+
+
+def root_name(location: Column, root: Column) -> Column:
+    """What a root's manifest is named by: the hash of the location's name, if there is one, and the root."""
+    from quillon.functions.hashing import xxh128
+
+    return xxh128(F.encode(F.concat(F.coalesce(location, F.lit("")), root), "UTF-8"))
+
+
+def manifest_properties(root: Column, outputs: Column, key: Column, digest: Column, location: Column, path_format: str = "posix") -> Column:
+    """Struct by which a job names a root's manifest. Outputs below the root stand relative to it, others are left out; no outputs at all: null."""
+    below = F.transform(F.filter(outputs, lambda p: (p == root) | F.startswith(p, F.concat(root, F.lit("/")))), lambda p: F.replace(F.substr(p, F.length(root) + 2), F.lit("\\"), F.lit("/")))
+    return F.struct(
+        root.alias("rootPath"), F.lit(path_format).alias("rootPathFormat"), key.alias("inputManifestPath"), digest.alias("inputManifestHash"),
+        F.when(F.size(outputs) > 0, below).alias("outputRelativeDirectories"), location.alias("fileSystemLocationName"),
+    )
+
+
+def attachments(properties: Column, file_system: str = "COPIED") -> Column:
+    """The JSON by which a job names its manifests; nulls are left out."""
+    return F.to_json(F.struct(properties.alias("manifests"), F.lit(file_system).alias("fileSystem")))

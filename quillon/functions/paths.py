@@ -92,7 +92,10 @@ def escape_glob(path: Column) -> Column:
 
 
 def glob_to_regex(pattern: str, braces: bool = False) -> str:
-    """A pattern as a regular expression for the whole path; * and ? also match '/'. braces: {a,b} and backslash escapes are special."""
+    """A pattern as a regular expression for the whole path; * and ? also match '/'. braces: {a,b} and backslash escapes are special.
+
+    [!a] is any other character; with braces [^a] is as well, without them '^' stands for itself.
+    """
     out, i, depth = [], 0, 0
     while i < len(pattern):
         c = pattern[i]
@@ -111,8 +114,10 @@ def glob_to_regex(pattern: str, braces: bool = False) -> str:
             end = pattern.find("]", i + 1)
             if end < 0:
                 raise ValueError(f"unclosed class in pattern {pattern!r}")
-            body = pattern[i:end].replace("\\", "\\\\")
-            out.append(f"[{'^' + body[1:] if body.startswith('!') else body}]")
+            body = pattern[i:end]
+            negated = body[0] == "!" or (braces and body[0] == "^")
+            plain = re.sub(r"[\\\[\]&^]", lambda m: "\\" + m[0], body[1:] if negated else body)
+            out.append(f"[{'^' if negated else ''}{plain}]")
             i = end + 1
         elif braces and c == "{":
             depth += 1
@@ -139,3 +144,25 @@ def matches_globs(path: Column, include: list[str] = (), exclude: list[str] = ()
     hit = lambda patterns: reduce(lambda x, y: x | y, [path.rlike(glob_to_regex(p, braces)) for p in patterns])
     wanted = hit(include) if include else F.lit(True)
     return wanted & ~hit(exclude) if exclude else wanted
+
+
+def within_root(path: Column, root: Column | str) -> Column:
+    """At or below root by whole components, after normalising both."""
+    root = normalize(F.lit(root) if isinstance(root, str) else root)
+    return (normalize(path) == root) | under(normalize(path), F.regexp_replace(root, "/$", ""))
+
+
+def for_manifest(path: Column, root: Column | str) -> Column:
+    """The path relative to root as it stands in a manifest, '' for root itself; one outside raises."""
+    whole, top = normalize(path), F.regexp_replace(normalize(F.lit(root) if isinstance(root, str) else root), "/$", "")
+    return F.when(whole == top, "").when(under(whole, top), F.substr(whole, F.length(top) + 2)).otherwise(F.raise_error(F.concat(F.lit("path outside root: "), F.coalesce(path, F.lit("null")))))
+
+
+def permissions(type: Column, runnable: Column) -> Column:
+    """Mode bits that a tree shows: folders and programs 755, links 777, other files 644."""
+    return F.when(type == "symlink", 0o777).when((type == "directory") | F.coalesce(runnable, F.lit(False)), 0o755).otherwise(0o644)
+
+
+def name_matches(name: Column, pattern: str) -> Column:
+    """Names by a pattern with * and ?, whatever the case; no pattern matches all."""
+    return F.lit(True) if not pattern else F.lower(name).rlike("(?s)^" + re.escape(pattern.lower()).replace(r"\*", ".*").replace(r"\?", ".") + "$")

@@ -64,3 +64,9 @@ def directory_states(events: DataFrame, original: DataFrame, key: str = "path",
 def summary(states: DataFrame) -> DataFrame:
     count = lambda s: F.count_if(F.col("state") == s).alias(f"n_{s}")
     return states.agg(count("new"), count("modified"), count("deleted"), F.count("*").alias("n_total"), (F.count("*") > 0).alias("has_changes"))
+
+
+def outputs_since(walked: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Files of a walk (path, mtime) that are newer than recorded, or not recorded: what a job has put out. Two rows of a path count as the later."""
+    known = recorded.groupBy("path").agg(F.max("mtime").alias("_known"))
+    return walked.join(known, "path", "left").where("_known IS NULL OR mtime > _known").select(*walked.columns)

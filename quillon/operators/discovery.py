@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators.skew import join_groups
+
 #: Fixed key forms: task outputs, step outputs, and the session action in a folder's name.
 TASK_KEY = r"step-[^/]+/(task-[^/]+)/([^/]+_sessionaction-[^/]+)/[^/]+_output"
 STEP_KEY = r"step-[^/]+/([^/]+_sessionaction-[^/]+)/[^/]+_output"
@@ -17,28 +19,40 @@ def output_objects(objects: DataFrame) -> DataFrame:
 
 
 def parse_keys(objects: DataFrame) -> DataFrame:
-    """(key, last_modified, task_id, session_folder, session_action_id); task keys first, then step keys; others are left out."""
-    task = F.nullif(F.regexp_extract("key", TASK_KEY, 1), F.lit(""))
-    folder = F.when(task.isNotNull(), F.regexp_extract("key", TASK_KEY, 2)).otherwise(F.nullif(F.regexp_extract("key", STEP_KEY, 1), F.lit("")))
-    rows = objects.select("key", F.coalesce("last_modified", F.lit(0).cast("long")).alias("last_modified"), task.alias("task_id"), folder.alias("session_folder"))
-    return rows.where("session_folder IS NOT NULL").withColumn("session_action_id", F.regexp_extract("session_folder", SESSION_ACTION, 1))
+    """(key, last_modified, task_id, session_folder, session_action_id); task keys first, then step keys; others are left out.
+
+    One search finds the part of the key that has the form; its names are cut at the slashes.
+    """
+    form = F.coalesce(F.nullif(F.regexp_extract("key", TASK_KEY, 0), F.lit("")), F.nullif(F.regexp_extract("key", STEP_KEY, 0), F.lit("")))
+    found = objects.select("key", F.coalesce("last_modified", F.lit(0).cast("long")).alias("last_modified"), F.filter(F.array(form), lambda f: f.isNotNull()).alias("_form"))
+    rows = found.select("key", "last_modified", F.explode("_form").alias("_form"))
+    names = F.split("_form", "/")
+    rows = rows.select("key", "last_modified", F.when(F.size(names) == 4, names[1]).alias("task_id"), F.get(names, F.size(names) - 2).alias("session_folder"))
+    return rows.withColumn("session_action_id", F.regexp_extract("session_folder", SESSION_ACTION, 1))
 
 
 def latest_per_task(parsed: DataFrame) -> DataFrame:
     """All rows of the session folder that each task's last modified row lies in, ties to the greater key; rows without task all stay.
 
-    The winner comes from a partial aggregate, joined back; a window would sort each task's rows.
+    The winner comes from a partial aggregate, joined back; a window would sort each task's rows. A task with many rows is dealt over tasks of Spark.
     """
-    last = parsed.where("task_id IS NOT NULL").groupBy("task_id").agg(F.max_by("session_folder", F.struct("last_modified", "key")).alias("_last"))
-    tasks = parsed.join(last, "task_id").where("session_folder = _last").select(*parsed.columns)
+    own = parsed.where("task_id IS NOT NULL")
+    last = own.groupBy("task_id").agg(F.max_by("session_folder", F.struct("last_modified", "key")).alias("_last"), F.count("*").alias("_n"))
+    tasks = join_groups(own, last, ["task_id"], "_n", F.col("key")).where("session_folder = _last").select(*parsed.columns)
     return tasks.union(parsed.where("task_id IS NULL"))
 
 
-def match_roots(parsed: DataFrame, roots: DataFrame) -> DataFrame:
-    """(session_action_id, root_index, key): by the 32-digit root hash in a key's last part; the first root and then the last key win."""
+def match_roots(parsed: DataFrame, roots: DataFrame, strict: bool = False) -> DataFrame:
+    """(session_action_id, root_index, key): by the 32-digit root hash in a key's last part; the first root and then the last key win.
+
+    A key of no root raises with strict, and is left out otherwise.
+    """
     token = F.regexp_extract("key", r"([0-9a-f]{32})[^/]*$", 1)
     first = roots.groupBy("root_hash").agg(F.min("root_index").alias("root_index"))
-    joined = parsed.withColumn("root_hash", token).join(first, "root_hash")
+    joined = parsed.withColumn("root_hash", token).join(first, "root_hash", "left" if strict else "inner")
+    if strict:
+        lost = F.raise_error(F.concat(F.lit("no asset root for "), F.col("key"))).cast("long")
+        joined = joined.withColumn("root_index", F.coalesce(F.col("root_index").cast("long"), lost))
     return joined.groupBy("session_action_id", "root_index").agg(F.max("key").alias("key"))
 
 

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from quillon.functions.chunks import chunk_list, needs_chunks
 from quillon.functions.keys import content_key
+from quillon.operators.skew import join_groups
 from quillon.schema import CHUNK_SIZE, LARGE_FILE
 
 
 def uploads(files: DataFrame, root: str, prefix: str, chunk: int = CHUNK_SIZE) -> DataFrame:
-    """(path, index, offset, length, hash, key): a row a file, or a chunk of a chunked file; deleted files and links have no content."""
+    """(path, index, offset, length, hash, key): a row a file, or a chunk of a chunked file; deleted files and links have no content.
+
+    A file with neither a hash nor chunk hashes raises. Of chunks and chunk hashes the shorter list counts.
+    """
     rows = files.where("NOT coalesce(deleted, false) AND symlink_target IS NULL")
-    many = F.col("chunkhashes").isNotNull()
+    nothing = F.raise_error(F.concat(F.lit("no content hash: "), F.coalesce("path", F.lit("null")))).cast("boolean")
+    many = F.coalesce(F.col("chunkhashes").isNotNull() | F.when(F.col("hash").isNotNull(), F.lit(False)), nothing)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("index"), F.lit(0).cast("long").alias("offset"), F.col("size").alias("length")))
     parts = F.when(many, F.arrays_zip(chunk_list(F.col("size"), chunk).alias("c"), F.col("chunkhashes").alias("h"))).otherwise(F.arrays_zip(whole.alias("c"), F.array("hash").alias("h")))
     e = rows.select("path", F.explode(F.filter(parts, lambda p: p["h"].isNotNull() & p["c"].isNotNull())).alias("p"))
@@ -21,11 +26,16 @@ def uploads(files: DataFrame, root: str, prefix: str, chunk: int = CHUNK_SIZE) -
 
 
 def upload_plan(parts: DataFrame, seen: DataFrame, stored: DataFrame) -> DataFrame:
-    """Adds action: skip what the cache has seen (key) or what is stored with the same size (key, size); of equal keys one is uploaded."""
-    s = seen.select("key").distinct().withColumn("_seen", F.lit(True))
-    t = stored.select("key", F.col("size").alias("_size")).dropDuplicates(["key"])
-    first = parts.groupBy("key").agg(F.min(F.struct("path", "index")).alias("_first"))
-    joined = parts.join(s, "key", "left").join(t, "key", "left").join(first, "key")
+    """Adds action: skip what the cache has seen (key) or what is stored with the same size (key, size); of equal keys one is uploaded.
+
+    One aggregate over parts, seen and stored, reduced before its shuffle, tells all of a key; parts join it once. A key that many parts have,
+    as that of the empty file, is dealt over tasks. If a key is stored more than once, its greatest size counts.
+    """
+    none = F.lit(None).cast("long")
+    stored_or_seen = seen.select("key", F.lit(True).alias("_s"), none.alias("_l")).unionByName(stored.select("key", F.lit(False).alias("_s"), F.col("size").cast("long").alias("_l")))
+    every = parts.select("key", F.struct("path", "index").alias("_at"), F.lit(False).alias("_s"), none.alias("_l")).unionByName(stored_or_seen, allowMissingColumns=True)
+    known = every.groupBy("key").agg(F.min("_at").alias("_first"), F.max("_s").alias("_seen"), F.max("_l").alias("_size"), F.count("_at").alias("_n")).where("_n > 0")
+    joined = join_groups(parts, known, ["key"], "_n", F.struct("path", "index"))
     there = F.coalesce("_seen", F.lit(False)) | F.coalesce(F.col("_size") == F.col("length"), F.lit(False))
     own = (F.col("_first.path") == F.col("path")) & (F.col("_first.index") == F.col("index"))
     return joined.withColumn("action", F.when(there, "skip_stored").when(own, "upload").otherwise("skip_repeated")).select(*parts.columns, "action")
@@ -88,5 +98,45 @@ def seen_keys(cache: DataFrame, now: Column, days: int) -> DataFrame:
     return cache.where(F.expr("try_cast(last_seen_time AS double)") >= now - F.lit(days * 86400)).select("s3_key")
 
 
+def mark_uploaded(cache: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
+    """The check cache (s3_key, last_seen_time) with the keys seen now. Times are text, seconds."""
+    new = keys.select("s3_key", now.cast("string").alias("last_seen_time")).distinct()
+    return cache.join(new.select("s3_key"), "s3_key", "left_anti").select("s3_key", "last_seen_time").unionByName(new)
+
+
+def forget(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """The check cache without the keys."""
+    return cache.join(keys.select("s3_key"), "s3_key", "left_anti")
+
+
+def forget_old(cache: DataFrame, now: Column, days: int) -> DataFrame:
+    """The check cache without what was last seen more than `days` ago; a time that is no number counts as 0."""
+    seen = F.coalesce(F.expr("try_cast(last_seen_time AS double)"), F.lit(0.0))
+    return cache.where(seen >= now - F.lit(days * 86400))
+
+
+def bucket_and_key(cached: Column) -> Column:
+    """Struct of bucket and key of a cached `bucket/key`; without a slash all is the bucket."""
+    return F.struct(F.substring_index(cached, "/", 1).alias("bucket"), F.when(F.instr(cached, "/") > 0, F.regexp_replace(cached, "^[^/]*/", "")).otherwise("").alias("key"))
+
+
+def cache_counts(cache: DataFrame, now: Column) -> DataFrame:
+    """One row: entries, and those that lookup would still return."""
+    return cache.agg(F.count("*").alias("n"), F.count_if(F.col("expires_at") > now).alias("n_live"))
+
+
+def group_statistics(plan: DataFrame, by: str) -> DataFrame:
+    """transfer_statistics by group, with a last row for all (null)."""
+    moved = F.col("action") == "upload"
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("length"))), F.lit(0)).alias
+    return plan.groupingSets([[by], []], by).agg(
+        F.count_if(moved).alias("n_transferred"), F.count_if(~moved).alias("n_skipped"), total(moved)("bytes_transferred"), total(~moved)("bytes_skipped"), F.grouping(by).alias("is_total"),
+    )
+
+
+def upload_strategy(size: Column, chunk: int = CHUNK_SIZE) -> Column:
+    return F.when(needs_chunks(size, chunk), "chunked").otherwise("single")
+
+
 def large_files(files: DataFrame, chunk: int = CHUNK_SIZE) -> DataFrame:
     return files.where(needs_chunks(F.col("size"), chunk))

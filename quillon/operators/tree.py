@@ -70,6 +70,24 @@ def hit_rate(events: DataFrame) -> DataFrame:
     return events.agg(hits.alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.coalesce(F.try_divide(hits * 100.0, F.count("*")), F.lit(0.0)).alias("hit_rate"))
 
 
+def lookup(listing_: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (wanted) with the node of that path whatever the case, null where there is none; of several the least path."""
+    found = listing_.groupBy(F.lower("path").alias("_key")).agg(F.min_by(F.struct(*listing_.columns), "path").alias("_r"))
+    return asked.withColumn("_key", F.lower(paths.to_posix(F.col("wanted")))).join(found, "_key", "left").select(*asked.columns, "_r.*")
+
+
+def without_below(changed: DataFrame, removed: DataFrame) -> DataFrame:
+    """Rows (path) that are not at or below a removed path."""
+    above = changed.select("path", F.explode(paths.ancestors(F.col("path"), itself=True)).alias("_above"))
+    gone = above.join(removed.select(F.col("path").alias("_above")).distinct(), "_above", "left_semi").select("path").distinct()
+    return changed.join(gone, "path", "left_anti")
+
+
+def sampled_keys(cache: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
+    """n of the keys, chosen by a hash of key and seed: to be checked against what is stored."""
+    return cache.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
 def first_per_name(listing_: DataFrame) -> DataFrame:
     """One child a parent and name whatever the case: the least path."""
     w = Window.partitionBy("parent", F.lower("name")).orderBy("path")

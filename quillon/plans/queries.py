@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions import chunks, keys, paths
-from quillon.operators import changes, diff, discovery, locations, merge, select, transfer, tree, validate
+from quillon.functions import chunks, hashing, keys, paths
+from quillon.operators import changes, diff, discovery, locations, merge, scan, select, transfer, tree, validate
 from quillon.plans import tables as t
+from quillon.sources import directory, encode, manifests, store
+from quillon.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,6 +84,39 @@ _PART_DIRS = "SELECT DISTINCT p_type || '/' || p_brand AS path FROM part WHERE p
 _PART_FILES = "(SELECT p_type || '/' || p_brand || '/' || p_name AS path FROM part WHERE p_partkey % 5 = 3)"
 
 
+_SAME = " AND ".join(f"p.{c} IS NOT DISTINCT FROM c.{c}" for c in ("symlink_target", "size", "hash", "chunkhashes"))
+_MIXED_STATUS = """SELECT coalesce(c.path, p.path) AS path, CASE WHEN p.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'deleted' WHEN {differ} THEN 'modified' ELSE 'unchanged' END AS status
+    FROM (SELECT * FROM {parent} WHERE NOT deleted) p FULL OUTER JOIN (SELECT * FROM {current} WHERE NOT deleted) c ON p.path = c.path"""
+_MIXED_SQL = {"parent": t.MIXED_PARENT, "current": t.MIXED_CURRENT}
+
+
+@query(_MIXED_STATUS.format(differ=f"NOT ({_SAME}) OR abs(p.mtime - c.mtime) > 1 OR p.runnable <> c.runnable", **_MIXED_SQL))
+def diff_kinds(spark, d):
+    """Of manifests with links, chunked files, deleted rows and rows without a time."""
+    return diff.classify(t.mixed_parent(spark, d), t.mixed_current(spark, d)).select("path", "status")
+
+
+@query(_MIXED_STATUS.format(differ=f"NOT ({_SAME})", **_MIXED_SQL))
+def diff_content(spark, d):
+    return diff.content_status(t.mixed_parent(spark, d), t.mixed_current(spark, d))
+
+
+@query(_MIXED_STATUS.format(differ="NOT coalesce(p.size = c.size AND abs(p.mtime - c.mtime) <= 1, false)", **_MIXED_SQL).replace("(SELECT * FROM " + t.MIXED_CURRENT + " WHERE NOT deleted) c", t.MIXED_CURRENT + " c"))
+def diff_fast_kinds(spark, d):
+    return diff.fast_status(t.mixed_parent(spark, d), t.mixed_current(spark, d))
+
+
+@query(f"SELECT path, symlink_target IS NULL AS is_file, chunkhashes IS NOT NULL AS is_chunked, runnable AS is_runnable, coalesce(hash, chunkhashes[1], '') AS primary_hash FROM {t.MIXED_PARENT} WHERE NOT deleted")
+def file_kinds(spark, d):
+    rows = select.additions(t.mixed_parent(spark, d))
+    return rows.select("path", *[select.of_kind(k).alias(f"is_{k}") for k in ("file", "chunked", "runnable")], chunks.primary_hash(F.col("hash"), F.col("chunkhashes")).alias("primary_hash"))
+
+
+@query(f"SELECT path, hash, size FROM {t.MIXED_CURRENT} WHERE NOT deleted UNION ALL SELECT path, hash, size FROM {t.MIXED_PARENT} p WHERE NOT deleted AND NOT EXISTS (SELECT 1 FROM {t.MIXED_CURRENT} c WHERE c.path = p.path)")
+def apply_plainly(spark, d):
+    return merge.apply_plainly(t.mixed_parent(spark, d), t.mixed_current(spark, d)).select("path", "hash", "size")
+
+
 @query(f"""WITH p AS ({_PART_DIRS}7 = 0), c AS ({_PART_DIRS}5 = 1), gone AS (SELECT path FROM p EXCEPT SELECT path FROM c)
     SELECT path, false AS deleted FROM (SELECT path FROM c EXCEPT SELECT path FROM p) UNION ALL
     SELECT path, true FROM gone WHERE NOT EXISTS (SELECT 1 FROM {_PART_FILES} f WHERE starts_with(f.path, gone.path) AND f.path <> gone.path)""")
@@ -195,10 +230,40 @@ def partition_explicit(spark, d):
     return select.partition(t.files(spark, d), ["src1", "src2", "src2/en"]).select("root", "path", "size")
 
 
-@query("SELECT '/ASIA/deep' AS root")
+def _common(paths_sql: str) -> str:
+    """SQL of the longest common run of names of each group's parents (g, path): names that are alike in all of a group, from the front."""
+    return f"""(WITH p AS (SELECT g, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS c FROM {paths_sql}),
+    u AS (SELECT g, i, array_to_string(c[1:i], '/') AS head FROM (SELECT g, c, unnest(range(1, len(c) + 1)) AS i FROM p)),
+    s AS (SELECT g, i, min(head) AS head FROM u GROUP BY g, i HAVING count(DISTINCT head) = 1 AND count(*) = (SELECT count(*) FROM p WHERE p.g = u.g))
+    SELECT g, CASE WHEN arg_max(head, i) = '' THEN '/' ELSE arg_max(head, i) END AS root FROM s GROUP BY g)"""
+
+
+_SIBLINGS = f"(SELECT location AS g, CASE WHEN k % 3 = 0 THEN regexp_replace(path, '^(/[^/]*/[^/]*)/', '\\1-x/') WHEN k % 3 = 1 AND location < 'M' THEN regexp_replace(path, '^(/[^/]*/[^/]*)/', '\\1/é/') ELSE path END AS path FROM (SELECT path, split_part(path, '/', 3) AS location, length(path) AS k FROM {t.ASSETS}))"
+
+
+@query(f"SELECT * FROM {_common(_SIBLINGS)}")
 def partition_detect(spark, d):
-    rows = t.assets(spark, d).where("startswith(path, '/ASIA/')").select(F.regexp_replace("path", "^/ASIA", "/ASIA/deep").alias("path"))
-    return select.detect_root(rows)
+    """Roots of each nation's assets, some of which lie in siblings whose names go on with '-' or hold other letters."""
+    k, g = F.length("path") % 3, F.split("path", "/")[2]
+    moved = lambda to: F.regexp_replace("path", "^(/[^/]*/[^/]*)/", to)
+    rows = t.assets(spark, d).select(g.alias("g"), F.when(k == 0, moved("$1-x/")).when((k == 1) & (g < "M"), moved("$1/é/")).otherwise(F.col("path")).alias("path"))
+    return select.detect_root(rows, ("g",))
+
+
+@query(f"SELECT root FROM {_common(f'(SELECT 1 AS g, path FROM {t.ASSETS})')}")
+def partition_roots(spark, d):
+    return select.detect_roots(t.assets(spark, d))
+
+
+@query("SELECT DISTINCT upper(substr('cdEF', (c_custkey % 4 + 1)::INT, 1)) || ':' AS root FROM customer")
+def partition_roots_windows(spark, d):
+    drive = F.substr(F.lit("cdEF"), (F.col("c_custkey") % 4 + 1).cast("int"), F.lit(1))
+    return select.detect_roots(t.read(spark, d, "customer").select(F.concat(drive, F.lit(":/"), F.col("c_name")).alias("path")))
+
+
+@query(f"SELECT r.root, CASE WHEN r.root = '/' THEN substr(path, 2) ELSE substr(path, length(r.root) + 2) END AS path FROM {t.ASSETS} a JOIN (VALUES ('/'), ('/ASIA'), ('/ASIA/CHINA')) r(root) ON r.root = '/' OR starts_with(a.path, r.root || '/')")
+def partition_by_slash(spark, d):
+    return select.partition(t.assets(spark, d), ["/", "/ASIA", "/ASIA/CHINA"]).select("root", "path")
 
 
 @query("""SELECT upper(substr('cdEF', (c_custkey % 4 + 1)::INT, 1)) || ':' AS root, c_mktsegment || '/' || c_name AS path FROM customer""")
@@ -299,6 +364,54 @@ def mode_bits(spark, d):
     return t.read(spark, d, "part").select("p_partkey", (mode.bitwiseAND(73) != 0).alias("runnable"), mode.bitwiseOR(F.shiftright(mode.bitwiseAND(292), 2)).alias("executable_mode"))
 
 
+#: Letters in the order of UTF-16 units, which differs from that of code points for the last two.
+_LETTERS = ("z", "é", "Ω", "😀", "ﬁ")
+
+
+@query(f"SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id % 5, doc_id // 5 + 100000)::INT AS place FROM {t.FILES}")
+def canonical_order_unicode(spark, d):
+    k = F.col("doc_id")
+    name = F.concat(F.element_at(F.array(*[F.lit(x) for x in _LETTERS]), (k % 5 + 1).cast("int")), (F.floor(k / 5) + 100_000).cast("string"))
+    rows = t.read(spark, d, "documents").select("doc_id", "source", name.alias("path"))
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(paths.utf16_order(F.col("path")))).alias("place"))
+
+
+@query("SELECT doc_id, lower(lpad(to_hex(xor(('0x' || substr(h, 1, 16))::UBIGINT, ('0x' || substr(h, 17, 16))::UBIGINT)), 16, '0')) AS folded FROM (SELECT doc_id, md5(text) AS h FROM documents)")
+def folded_hashes(spark, d):
+    return t.read(spark, d, "documents").select("doc_id", hashing.fold(F.md5("text")).alias("folded"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 493 WHEN 1 THEN 511 WHEN 2 THEN CASE WHEN p_partkey % 2 = 0 THEN 493 ELSE 420 END END::INT AS mode, p_name ILIKE 'b%' AS named FROM part")
+def tree_permissions(spark, d):
+    kind = F.element_at(F.array(F.lit("directory"), F.lit("symlink"), F.lit("file")), (F.col("p_size") % 3 + 1).cast("int"))
+    return t.read(spark, d, "part").select("p_partkey", paths.permissions(kind, F.col("p_partkey") % 2 == 0).alias("mode"), paths.name_matches(F.col("p_name"), "B*").alias("named"))
+
+
+@query("""SELECT p_partkey, p_type || '/x/' || p_brand AS path, p_partkey % 2 = 0 AS inside FROM part""")
+def manifest_paths(spark, d):
+    root = F.concat(F.lit("/r/"), F.lit("./s"))
+    raw = F.concat_ws("/", F.lit("/r/s"), "p_type", F.lit("y/../x"), "p_brand")
+    inside = paths.within_root(F.when(F.col("p_partkey") % 2 == 0, raw).otherwise(F.concat(F.lit("/r/s/../st/"), F.col("p_brand"))), "/r/s")
+    return t.read(spark, d, "part").select("p_partkey", paths.for_manifest(raw, root).alias("path"), inside.alias("inside"))
+
+
+@query("""SELECT event_id, 'root/M/f/q/Inputs/g' || user_id || '/n_input' AS input_key, 'M/f/q/j/s/' || CASE WHEN event_id % 2 = 0 THEN 't' || user_id || '/' ELSE '' END || '2024_sa-' || user_id || '/n_output' AS output_key,
+    'f/q/Inputs/g' || user_id || '/n_input' AS partial_key FROM events""")
+def manifest_keys(spark, d):
+    user = lambda x: F.concat(F.lit(x), F.col("user_id").cast("string"))
+    output = lambda task: keys.output_manifest_key("M", F.lit("f"), F.lit("q"), F.lit("j"), F.lit("s"), F.lit("2024"), user("sa-"), F.lit("n_output"), task)
+    whole = keys.manifest_key("root", "M", keys.join_key(F.lit("f"), F.lit("q"), F.lit("Inputs"), user("g"), F.lit("n_input")))
+    return t.read(spark, d, "events").select("event_id", whole.alias("input_key"), F.when(F.col("event_id") % 2 == 0, output(user("t"))).otherwise(output(None)).alias("output_key"), keys.partial_key(whole, "root/M").alias("partial_key"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN '' ELSE p_brand || '/o' END AS directories, '/r/' || p_type AS root FROM part""")
+def manifest_properties(spark, d):
+    root = F.concat(F.lit("/r/"), F.col("p_type"))
+    outputs = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).when(F.col("p_size") % 3 == 1, F.array(F.lit("/elsewhere/x"))).otherwise(F.array(F.concat_ws("/", root, "p_brand", F.lit("o")), F.lit("/rx")))
+    p = keys.manifest_properties(root, outputs, F.lit("k"), F.lit("h"), F.lit(None).cast("string"))
+    return t.read(spark, d, "part").select("p_partkey", p.alias("p")).select("p_partkey", F.array_join("p.outputRelativeDirectories", ";").alias("directories"), F.col("p.rootPath").alias("root"))
+
+
 @query(f"SELECT path, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY path)::INT AS place FROM {t.FILES}")
 def canonical_order(spark, d):
     w = Window.partitionBy(F.substring_index("path", "/", 1)).orderBy(paths.utf16_order(F.col("path")))
@@ -347,6 +460,20 @@ def content_dedup(spark, d):
     return t.files(spark, d).groupBy("hash").agg(F.count("*").alias("n"), F.min("size").alias("size"))
 
 
+@query(f"""SELECT CASE WHEN grouping(hour) = 1 THEN NULL ELSE hour END AS hour, count(*) FILTER (action = 'upload') AS n_transferred, count(*) FILTER (action <> 'upload') AS n_skipped,
+    coalesce(sum(length) FILTER (action = 'upload'), 0)::BIGINT AS bytes_transferred, coalesce(sum(length) FILTER (action <> 'upload'), 0)::BIGINT AS bytes_skipped, grouping(hour)::TINYINT AS is_total
+    FROM (SELECT *, split_part(path, '/', 1) AS hour FROM {_PLAN}) GROUP BY GROUPING SETS ((hour), ())""")
+def transfer_summary(spark, d):
+    return transfer.group_statistics(_plan(spark, d).withColumn("hour", F.substring_index("path", "/", 1)), "hour")
+
+
+@query(f"SELECT path, size > 268435456 AS is_large, CASE WHEN size > 268435456 THEN 'chunked' ELSE 'single' END AS strategy, CASE WHEN size > 268435456 THEN md5(h || ':' || (size - 1) // 268435456) ELSE md5(h::VARCHAR) END AS last_block FROM {t.LARGE}")
+def upload_strategies(spark, d):
+    f = t.large_files(spark, d)
+    large = transfer.large_files(f).select("path", F.lit(True).alias("is_large"))
+    return f.join(large, "path", "left").select("path", F.coalesce("is_large", F.lit(False)).alias("is_large"), transfer.upload_strategy(F.col("size")).alias("strategy"), chunks.block_key(F.col("hash"), F.col("chunkhashes"), F.col("size") - 1).alias("last_block"))
+
+
 @query(f"SELECT CASE WHEN size < 83886080 THEN 'small' ELSE 'large' END AS class, count(*) AS n, sum(size)::BIGINT AS bytes FROM {t.LARGE} GROUP BY 1")
 def size_classes(spark, d):
     return transfer.size_classes(t.large_files(spark, d))
@@ -402,6 +529,26 @@ def check_cache_seen(spark, d):
     return transfer.seen_keys(rows, F.lit(_NOW + 2_000_000), 30)
 
 
+@query(f"SELECT count(*) AS n, count(*) FILTER (expires_at > {_NOW + 2_000_000}) AS n_live FROM {_CACHE}")
+def cache_counts(spark, d):
+    return transfer.cache_counts(_cache(spark, d), F.lit(_NOW + 2_000_000))
+
+
+def _check_cache(spark, d):
+    seen = F.when(F.col("event_id") % 7 == 0, "unknown").otherwise(F.unix_timestamp("ts").cast("string"))
+    return t.read(spark, d, "events").select(F.concat(F.lit("bucket/"), F.col("event_id").cast("string")).alias("s3_key"), seen.alias("last_seen_time"), "event_id")
+
+
+@query(f"""SELECT 'bucket' AS bucket, event_id::VARCHAR AS key, CASE WHEN event_id % 3 = 0 THEN '{_NOW + 2_000_000}' WHEN event_id % 7 = 0 THEN 'unknown' ELSE (epoch_us(ts) // 1000000)::VARCHAR END AS last_seen_time FROM events
+    WHERE event_id % 5 <> 0 AND (event_id % 3 = 0 OR (event_id % 7 <> 0 AND epoch_us(ts) // 1000000 >= {_NOW + 2_000_000} - 30 * 86400))""")
+def check_cache_kept(spark, d):
+    """Marked as uploaded, some taken out, old ones cleaned up."""
+    cache = _check_cache(spark, d)
+    marked = transfer.mark_uploaded(cache, cache.where("event_id % 3 = 0"), F.lit(_NOW + 2_000_000))
+    kept = transfer.forget_old(transfer.forget(marked, cache.where("event_id % 5 = 0")), F.lit(_NOW + 2_000_000), 30)
+    return kept.select(transfer.bucket_and_key(F.col("s3_key")).alias("k"), "last_seen_time").select("k.bucket", "k.key", "last_seen_time")
+
+
 # Discovery -----------------------------------------------------------------------------------------------------------
 
 
@@ -468,11 +615,33 @@ def skip_shared(spark, d):
     return locations.below_any(t.assets(spark, d), F.col("path"), t.places(spark, d)[1], negate=True)
 
 
-@query(f"""WITH x AS (SELECT * FROM {_DEEPEST} y WHERE NOT EXISTS (SELECT 1 FROM {t.SHARED} s WHERE starts_with(y.path, s.place || '/')))
-    SELECT location, place AS root, count(*) FILTER (kind = 'input') AS inputs, count(*) FILTER (kind = 'output') AS outputs, count(*) FILTER (kind = 'reference') AS "references" FROM x WHERE place IS NOT NULL GROUP BY ALL""")
+@query(f"""WITH x AS (SELECT * FROM {_DEEPEST} y WHERE NOT EXISTS (SELECT 1 FROM {t.SHARED} s WHERE starts_with(y.path, s.place || '/'))),
+    y AS (SELECT *, coalesce(place, '/' || split_part(path, '/', 2)) AS g FROM x)
+    SELECT location, coalesce(place, root) AS root, count(*) FILTER (kind = 'input') AS inputs, count(*) FILTER (kind = 'output') AS outputs, count(*) FILTER (kind = 'reference') AS "references"
+    FROM y JOIN """ + _common("y") + """ r USING (g) GROUP BY ALL""")
 def asset_groups(spark, d):
     local, shared = t.places(spark, d)
-    return locations.asset_groups(t.assets(spark, d), local, shared).where("location IS NOT NULL")
+    return locations.asset_groups(t.assets(spark, d), local, shared)
+
+
+@query(f"""WITH x AS (SELECT * FROM {_DEEPEST} y WHERE NOT EXISTS (SELECT 1 FROM {t.SHARED} s WHERE starts_with(y.path, s.place || '/'))),
+    y AS (SELECT DISTINCT *, coalesce(place, '/' || split_part(path, '/', 2)) AS g FROM x)
+    SELECT y.location, root, kind, path FROM y JOIN {_common("(SELECT g, path || '/.' AS path FROM y)")} r USING (g)""")
+def asset_group_members(spark, d):
+    local, shared = t.places(spark, d)
+    return locations.group_members(t.assets(spark, d), local, shared)
+
+
+_PRESENT = f"(SELECT path, CASE WHEN length(path) % 7 = 1 THEN 'directory' ELSE 'file' END AS type FROM {t.ASSETS} WHERE length(path) % 7 <> 0)"
+
+
+@query(f"""SELECT path, CASE WHEN was = 'missing' THEN 'reference' WHEN was IS NULL THEN kind END AS kind, was FROM (SELECT a.path, a.kind, CASE
+    WHEN EXISTS (SELECT 1 FROM {t.SHARED} s WHERE starts_with(a.path, s.place || '/')) THEN 'shared' WHEN a.kind = 'input' AND p.type IS NULL THEN 'missing' WHEN a.kind = 'input' AND p.type = 'directory' THEN 'directory' END AS was
+    FROM {t.ASSETS} a LEFT JOIN {_PRESENT} p ON a.path = p.path)""")
+def checked_assets(spark, d):
+    a, n = t.assets(spark, d), F.length("path") % 7
+    present = a.where(n != 0).select("path", F.when(n == 1, "directory").otherwise("file").alias("type"))
+    return locations.checked_assets(a, present, t.places(spark, d)[1], strict=False)
 
 
 @query("SELECT p_type, p_type || '/' || CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) || '/d' ELSE '' END AS root FROM part WHERE p_partkey < 3000 GROUP BY p_type")
@@ -523,6 +692,19 @@ def unmapped_paths(spark, d):
     return map_paths(spark, d).where("mapped IS NULL").select("path")
 
 
+@query("""SELECT '/' || r_name || '/' || n_name || '/' || c_mktsegment || '/' || c_name AS path,
+    CASE WHEN n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 0 THEN 'Z:/' || n_name || '/' || c_mktsegment || '/' || c_name END AS mapped FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def map_paths_any_case(spark, d):
+    """As map_paths, by rules in other cases and with '\\'."""
+    rules = mapping_rules(spark, d).withColumn("source_path", F.replace(F.lower("source_path"), F.lit("/"), F.lit("\\")))
+    return locations.map_paths(t.assets(spark, d).select("path"), rules, fold_case=True)
+
+
+@query(f"SELECT path, CASE WHEN starts_with(path, '/ASIA/') THEN '/mnt' || substr(path, 6) END AS mapped FROM {t.ASSETS}")
+def map_by_one_rule(spark, d):
+    return t.assets(spark, d).select("path", locations.mapped_one(F.col("path"), "/ASIA/", "/mnt").alias("mapped"))
+
+
 # Trees and reads -----------------------------------------------------------------------------------------------------
 
 _TREE = f"""(SELECT path, regexp_replace(path, '/[^/]*$', '') AS parent, regexp_extract(path, '[^/]*$') AS name, 'file' AS type, size FROM {t.FILES}
@@ -546,6 +728,25 @@ def overlay_listing(spark, d):
     return tree.listing(n, n.where("type = 'file' AND size % 7 = 0").select("path"), n.where("type = 'file' AND size % 7 = 1").select("path", "type", (F.col("size") + 5).alias("size")))
 
 
+@query(f"SELECT upper(path) AS wanted, path, parent, name, type, size FROM {_TREE}")
+def lookup_any_case(spark, d):
+    n = tree_nodes(spark, d)
+    return tree.lookup(n, n.select(F.upper("path").alias("wanted")))
+
+
+@query(f"SELECT min(path) AS path FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN upper(path) ELSE path END AS path, doc_id // 2 AS k FROM {t.FILES}) GROUP BY regexp_replace(path, '/[^/]*$', ''), lower(regexp_extract(path, '[^/]*$'))")
+def first_names(spark, d):
+    rows = t.files(spark, d).select(F.when(F.col("doc_id") % 2 == 0, F.upper("path")).otherwise(F.col("path")).alias("path"))
+    return tree.first_per_name(rows.select("path", paths.parent(F.col("path")).alias("parent"), paths.name(F.col("path")).alias("name"))).select("path")
+
+
+@query(f"SELECT path FROM {t.FILES} WHERE NOT (source = 'src2' AND lang IN ('en', 'de')) AND NOT (doc_id % 6 = 0)")
+def without_removed(spark, d):
+    f = t.files(spark, d)
+    gone = f.where("doc_id % 6 = 0").select("path").union(spark.createDataFrame([("src2/en",), ("src2/de",)], "path string"))
+    return tree.without_below(f.select("path"), gone)
+
+
 @query(f"""SELECT p AS path, count(*) AS n_files, sum(size)::BIGINT AS bytes FROM (SELECT source AS p, size FROM {t.FILES} UNION ALL SELECT source || '/' || lang, size FROM {t.FILES}) GROUP BY p""")
 def directory_sizes(spark, d):
     return tree.directory_sizes(t.files(spark, d))
@@ -630,8 +831,155 @@ def change_summary(spark, d):
     return changes.summary(_states(spark, d))
 
 
+@query(f"""WITH r AS (SELECT ts, event_id, path, op, 0 AS part FROM {t.CHANGES} WHERE event_id % 5 <> 0 UNION ALL SELECT ts, event_id, path, 'delete', 0 FROM {t.CHANGES} WHERE event_id % 5 = 0
+    UNION ALL SELECT ts, event_id, path || '.new', 'create', 1 FROM {t.CHANGES} WHERE event_id % 5 = 0), f AS (SELECT path, arg_max(op, (ts, event_id, part)) AS op FROM r WHERE op <> 'read' GROUP BY path)
+    SELECT path, CASE op WHEN 'delete' THEN NULL ELSE 'new' END AS state FROM f WHERE op <> 'delete'""")
+def renamed_states(spark, d):
+    """Some changes are renames: a delete and a create at the same moment."""
+    e = t.changes(spark, d)
+    renamed = F.col("event_id") % 5 == 0
+    moved = changes.with_renames(e.select("seq", F.when(renamed, "rename").otherwise(F.col("op")).alias("op"), "path", F.concat("path", F.lit(".new")).alias("new_path")))
+    return changes.file_states(moved, e.select("path").limit(0), order=["seq", "part"])
+
+
+@query(f"SELECT path, mtime FROM {t.FILES} f WHERE doc_id % 7 = 0 OR doc_id % 3 = 1")
+def new_outputs(spark, d):
+    f = t.files(spark, d)
+    recorded = f.where("doc_id % 7 <> 0").select("path", (F.col("mtime") - F.when(F.col("doc_id") % 3 == 1, 1).otherwise(0)).alias("mtime"))
+    return changes.outputs_since(f.select("path", "mtime"), recorded)
+
+
 @query(f"""WITH f AS (SELECT path, arg_max(op, (ts, event_id)) AS op FROM {t.CHANGES} WHERE op IN ('create', 'delete') GROUP BY path), o AS (SELECT DISTINCT path FROM {t.CHANGES} WHERE event_id % 10 = 0),
     s AS (SELECT f.path, CASE WHEN op = 'delete' AND o.path IS NOT NULL THEN 'deleted' WHEN op = 'create' AND o.path IS NULL THEN 'new' END AS state FROM f LEFT JOIN o ON f.path = o.path) SELECT * FROM s WHERE state IS NOT NULL""")
 def directory_states(spark, d):
     e = t.changes(spark, d)
     return changes.directory_states(e, e.where("event_id % 10 = 0").select("path"), order=["ts", "event_id"])
+
+
+# Manifests as JSON ---------------------------------------------------------------------------------------------------
+
+_ENTRY = """'{' || CASE WHEN kind = 2 THEN '"chunkhashes":["' || md5(hash || '0') || '","' || md5(hash || '1') || '"],' ELSE '' END || CASE WHEN kind = 3 THEN '"deleted":true,' ELSE '' END
+    || CASE WHEN kind IN (0, 4) THEN '"hash":"' || hash || '",' ELSE '' END || CASE WHEN kind IN (0, 2, 4) THEN '"mtime":' || mtime || ',' ELSE '' END
+    || '"path":"' || CASE WHEN kind = 4 THEN lang || '/é\\"' || doc_id ELSE '$' || n || '/' || doc_id || '.txt' END || '"'
+    || CASE WHEN kind IN (0, 2, 4) AND doc_id % 3 = 0 THEN ',"runnable":true' ELSE '' END || CASE WHEN kind IN (0, 2, 4) THEN ',"size":' || size ELSE '' END
+    || CASE WHEN kind = 1 THEN ',"symlink":{"target":"$' || n || '/' || (doc_id + 1) || '.txt"}' ELSE '' END || '}'"""
+_ENCODED = f"""WITH x AS (SELECT source, lang, doc_id, md5(text) AS hash, n_chars AS size, {t.BASE_MTIME} + doc_id * 1000 AS mtime, doc_id // 20 % 5 AS kind FROM documents),
+    dirs AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lang) - 1 AS n FROM (SELECT DISTINCT source, lang FROM x WHERE kind <> 4)), l AS (SELECT x.*, n FROM x LEFT JOIN dirs USING (source, lang)),
+    f AS (SELECT source, '[' || string_agg({_ENTRY}, ',' ORDER BY CASE WHEN kind = 4 THEN lang || '/é"' || doc_id ELSE lang || '/' || doc_id || '.txt' END) || ']' AS files, coalesce(sum(size) FILTER (kind IN (0, 2, 4)), 0)::BIGINT AS total FROM l GROUP BY source),
+    g AS (SELECT source, '[' || string_agg('{{"path":"' || lang || '"}}', ',' ORDER BY lang) || ']' AS dirs FROM dirs GROUP BY source)
+    SELECT source AS manifest_id, '{{"dirs":' || coalesce(dirs, '[]') || ',"files":' || files || ',"hashAlg":"xxh128","parentManifestHash":"p","specificationVersion":"relative-manifest-diff-beta-2025-12","totalSize":' || total || '}}' AS json FROM f LEFT JOIN g USING (source)"""
+
+
+def _model(spark, d):
+    """Manifests of each source's documents: files, links, chunked and deleted ones, some with odd names in folders that are no row."""
+    k = F.floor(F.col("doc_id") / 20) % 5
+    null = lambda c, *kinds: F.when(k.isin(*kinds), F.col(c))
+    plain = F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    rows = t.read(spark, d, "documents").withColumns({"h": F.md5("text"), "m": F.lit(t.BASE_MTIME) + F.col("doc_id") * 1000})
+    files = rows.select(
+        F.col("source").alias("manifest_id"), F.when(k == 4, F.concat("lang", F.lit('/é"'), F.col("doc_id").cast("string"))).otherwise(plain).alias("path"), null("h", 0, 4).alias("hash"), null("n_chars", 0, 2, 4).alias("size"),
+        null("m", 0, 2, 4).alias("mtime"), (k.isin(0, 2, 4) & (F.col("doc_id") % 3 == 0)).alias("runnable"), F.when(k == 2, F.array(F.md5(F.concat("h", F.lit("0"))), F.md5(F.concat("h", F.lit("1"))))).alias("chunkhashes"),
+        F.when(k == 1, F.concat_ws("/", "lang", F.concat((F.col("doc_id") + 1).cast("string"), F.lit(".txt")))).alias("symlink_target"), (k == 3).alias("deleted"), "doc_id",
+    )
+    dirs = rows.where(k != 4).select(F.col("source").alias("manifest_id"), F.col("lang").alias("path"), F.lit(False).alias("deleted")).distinct()
+    headers = rows.select(F.col("source").alias("manifest_id"), F.lit(manifests.SPEC_VERSIONS[3]).alias("spec_version"), F.lit("xxh128").alias("hash_alg"), F.lit("p").alias("parent_manifest_hash")).distinct()
+    return headers, files, dirs
+
+
+@query(_ENCODED.replace("lang || '/é\\\"' || doc_id ELSE", "CASE WHEN n IS NULL THEN lang ELSE '$' || n END || '/é\\\"' || doc_id ELSE"))
+def encode_v2025(spark, d):
+    return encode.encode(*_model(spark, d))
+
+
+@query("""SELECT source AS manifest_id, '{"hashAlg":"xxh128","manifestVersion":"2023-03-03","paths":[' || string_agg('{"hash":"' || md5(text) || '","mtime":' || doc_id || ',"path":"' || lang || '/' || doc_id || '","size":' || n_chars || '}', ',' ORDER BY lang || '/' || doc_id)
+    || '],"totalSize":' || sum(n_chars)::BIGINT || '}' AS json FROM documents GROUP BY source""")
+def encode_v2023(spark, d):
+    return encode.encode_2023(_older(spark, d))
+
+
+def _older(spark, d):
+    return t.read(spark, d, "documents").select(F.col("source").alias("manifest_id"), F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), F.md5("text").alias("hash"), F.col("n_chars").alias("size"), F.col("doc_id").alias("mtime"))
+
+
+@query(f"""SELECT source AS manifest_id, CASE WHEN k = 4 THEN lang || '/é"' || doc_id ELSE lang || '/' || doc_id || '.txt' END AS path, CASE WHEN k IN (0, 4) THEN md5(text) END AS hash, CASE WHEN k IN (0, 2, 4) THEN n_chars END AS size,
+    CASE WHEN k IN (0, 2, 4) THEN {t.BASE_MTIME} + doc_id * 1000 END AS mtime, k IN (0, 2, 4) AND doc_id % 3 = 0 AS runnable, CASE WHEN k = 2 THEN md5(md5(text) || '0') || ',' || md5(md5(text) || '1') END AS chunkhashes,
+    CASE WHEN k = 1 THEN lang || '/' || (doc_id + 1) || '.txt' END AS symlink_target, k = 3 AS deleted FROM (SELECT *, doc_id // 20 % 5 AS k FROM documents)""")
+def round_trip_json(spark, d):
+    """Encoded and read again, checked for a known version."""
+    read = manifests.files(manifests.checked(encode.encode(*_model(spark, d))))
+    return read.select("manifest_id", "path", "hash", "size", "mtime", "runnable", F.array_join("chunkhashes", ",").alias("chunkhashes"), "symlink_target", "deleted")
+
+
+@query("SELECT source AS manifest_id, '2023-03-03' AS version, count(*) AS n, sum(n_chars)::BIGINT AS size, max(lang || '/' || doc_id) AS last FROM documents GROUP BY source")
+def round_trip_v2023(spark, d):
+    text = encode.encode_2023(_older(spark, d))
+    files = manifests.older_files(text).groupBy("manifest_id").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("path").alias("last"))
+    return manifests.versions(text).select("manifest_id", "version").join(files, "manifest_id")
+
+
+@query("SELECT n_nationkey, ['absolute', 'relative'][(n_nationkey % 2 + 1)::INT] AS path_style, ['snapshot', 'diff'][(n_regionkey % 2 + 1)::INT] AS kind, ['absolute', 'relative'][(n_nationkey % 2 + 1)::INT] || '-manifest-' || ['snapshot', 'diff'][(n_regionkey % 2 + 1)::INT] || '-beta-2025-12' AS name FROM nation")
+def spec_versions(spark, d):
+    pick = lambda c, *names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col(c) % 2 + 1).cast("int"))
+    rows = t.read(spark, d, "nation").select("n_nationkey", manifests.spec_name(pick("n_nationkey", "absolute", "relative"), pick("n_regionkey", "snapshot", "diff")).alias("name"))
+    return rows.withColumn("v", manifests.spec_version(F.col("name"))).select("n_nationkey", F.col("v.path_style").alias("path_style"), F.col("v.type").alias("kind"), "name")
+
+
+@query(f"SELECT idx, count(*) AS n_files, sum(size)::BIGINT AS total_size, md5(string_agg(path, '|' ORDER BY path)) AS paths FROM {t.VERSIONS} GROUP BY idx")
+def sorted_paths(spark, d):
+    return merge.sorted_paths(t.versions(spark, d), "idx").select("idx", "n_files", "total_size", F.md5(F.array_join("paths", "|")).alias("paths"))
+
+
+# Stores and directories ----------------------------------------------------------------------------------------------
+
+
+def _stored(spark, d, folder):
+    """Documents in a store: (path, hash, content's hash)."""
+    rows = t.read(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    store.put(rows, folder).write.parquet(f"{folder}.written")
+    return rows
+
+
+@query("SELECT count(DISTINCT text) AS n, sum(octet_length(encode(text)))::BIGINT AS bytes FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)")
+def store_contents(spark, d):
+    """Distinct contents, written by their hash and listed."""
+    folder = new_folder(spark, "store")
+    _stored(spark, d, folder)
+    return store.objects(spark, folder).where("endswith(key, '.xxh128')").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT doc_id, md5(encode(text)[doc_id % 50 + 1 : doc_id % 50 + 20]) AS part FROM documents")
+def store_ranges(spark, d):
+    folder = new_folder(spark, "store")
+    rows = _stored(spark, d, folder)
+    asked = rows.select("doc_id", hashing.xxh128(F.col("content")).alias("hash"), (F.col("doc_id") % 50).alias("offset"), F.lit(20).cast("long").alias("length"))
+    return store.retrieve(asked, folder).select("doc_id", F.md5("content").alias("part"))
+
+
+def _tree(spark, d):
+    """Documents stored and downloaded into a folder: the folder, and (path, hash) of what is there."""
+    folder, to = new_folder(spark, "store"), new_folder(spark, "tree")
+    rows = _stored(spark, d, folder).select(F.col("path").alias("target"), F.lit(0).cast("long").alias("index"), hashing.xxh128(F.col("content")).alias("hash"))
+    store.download(rows, folder, to).write.parquet(f"{folder}.done")
+    return to, rows
+
+
+@query("SELECT path, octet_length(encode(text)) AS size, true AS same, false AS runnable FROM (SELECT *, source || '/' || lang || '/' || doc_id || '.txt' AS path FROM documents)")
+def scan_snapshot(spark, d):
+    """A folder's walk, hashed, against the hashes of what was written there."""
+    to, rows = _tree(spark, d)
+    files, _ = scan.snapshot(directory.walk(spark, to, 2), to)
+    known = rows.select(F.col("target").alias("path"), F.col("hash").alias("_hash"))
+    return files.join(known, "path").select("path", "size", (F.col("hash") == F.col("_hash")).alias("same"), "runnable")
+
+
+@query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN doc_id % 4 = 0 THEN 'added' WHEN doc_id % 4 = 1 AND octet_length(encode(text)) > 0 THEN 'modified' ELSE 'unchanged' END AS status FROM documents) GROUP BY 1
+    UNION ALL SELECT 'deleted', 1""")
+def scan_status(spark, d):
+    """A folder's walk against a manifest that lacks some files, has others with another content and one that is gone."""
+    to, rows = _tree(spark, d)
+    entries = directory.walk(spark, to)
+    now, dirs = scan.snapshot(entries, to)
+    k = F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("long") % 4
+    known = now.where(k != 0).withColumn("hash", F.when((k == 1) & (F.col("size") > 0), "other").otherwise(F.col("hash")))
+    gone = now.limit(1).withColumn("path", F.lit("gone"))
+    return diff.rollup(scan.directory_status(known.union(gone), dirs, entries, to, hashed=True)[0])

@@ -136,3 +136,36 @@ LOCAL = """(SELECT '/' || r_name AS place, r_name AS location FROM region WHERE
 SHARED = "(SELECT '/' || r_name || '/' || n_name AS place FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0)"
 ASSETS = """(SELECT '/' || r_name || '/' || n_name || '/' || c_mktsegment || '/' || c_name AS path, CASE c_custkey % 3 WHEN 0 THEN 'input' WHEN 1 THEN 'output' ELSE 'reference' END AS kind
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def _mixed(spark: SparkSession, d: str, gone: int, changed: int) -> DataFrame:
+    k = F.col("doc_id")
+    kind = k % 8
+    link, many, deleted = kind == 5, kind == 6, k % gone == 0
+    content = F.when(k % changed == 0, F.md5(F.concat("hash", F.lit("y")))).otherwise(F.col("hash"))
+    live = lambda c, when: F.when(~deleted & when, c)
+    return files(spark, d).select(
+        "path", live(content, ~link & ~many).alias("hash"), live(F.when(many, F.col("size") + 300_000_000).otherwise(F.col("size")), ~link).alias("size"),
+        live(F.col("mtime") + F.when(k % 12 == 0, gone).otherwise(0), ~link & (k % 10 != 3)).alias("mtime"), (~deleted & ~link & F.col("runnable")).alias("runnable"),
+        live(F.array(content, F.md5(content)), many).alias("chunkhashes"), live(F.concat(F.lit("to/"), F.substring(content, 1, 2)), link).alias("symlink_target"), deleted.alias("deleted"), "doc_id",
+    )
+
+
+def mixed_parent(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest with links, chunked files, deleted rows, and files without a time."""
+    return _mixed(spark, d, 9, 1_000_003).where("doc_id % 7 <> 0")
+
+
+def mixed_current(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d, 11, 5).where("doc_id % 13 <> 0")
+
+
+def _mixed_sql(gone: int, changed: int, where: str) -> str:
+    return f"""(SELECT path, CASE WHEN NOT deleted AND kind NOT IN (5, 6) THEN c END AS hash, CASE WHEN NOT deleted AND kind <> 5 THEN CASE WHEN kind = 6 THEN size + 300000000 ELSE size END END AS size,
+    CASE WHEN NOT deleted AND kind <> 5 AND doc_id % 10 <> 3 THEN mtime + CASE WHEN doc_id % 12 = 0 THEN {gone} ELSE 0 END END AS mtime, NOT deleted AND kind <> 5 AND runnable AS runnable,
+    CASE WHEN NOT deleted AND kind = 6 THEN [c, md5(c)] END AS chunkhashes, CASE WHEN NOT deleted AND kind = 5 THEN 'to/' || substr(c, 1, 2) END AS symlink_target, deleted, doc_id
+    FROM (SELECT *, doc_id % 8 AS kind, doc_id % {gone} = 0 AS deleted, CASE WHEN doc_id % {changed} = 0 THEN md5(hash || 'y') ELSE hash END AS c FROM {FILES}) WHERE {where})"""
+
+
+MIXED_PARENT = _mixed_sql(9, 1_000_003, "doc_id % 7 <> 0")
+MIXED_CURRENT = _mixed_sql(11, 5, "doc_id % 13 <> 0")

@@ -32,3 +32,32 @@ def test_access_counts(spark, tmp_path):
     ended = F.col("start") + F.expr("INTERVAL 1 DAY") <= F.lit(events.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 1 HOUR")
     wanted = events.groupBy(F.window("ts", "1 day").start.alias("start"), "event_type").agg(F.count("*").alias("n")).where(ended)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.select("start", "event_type", "n").collect()))
+
+
+def test_outputs_are_merged_by_root(spark, tmp_path):
+    from quillon.streaming import incremental
+
+    folder, checkpoint, source = str(tmp_path / "t"), str(tmp_path / "c"), str(tmp_path / "in")
+    schema = "root string, path string, last_modified long, manifest_id string, size long"
+    batches = [[("r", "a", 1, "m1", 1), ("r", "b", 1, "m1", 1)], [("r", "a", 5, "m2", 2), ("s", "a", 1, "m2", 9)], [("r", "a", 3, "m3", 7), ("r", "c", 4, "m3", 3)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        assert incremental.merge_outputs(stream, folder, checkpoint).awaitTermination(90)
+    wanted = incremental.latest_by(spark.createDataFrame(sum(batches, []), schema), ["root", "path"], ["last_modified", "manifest_id"])
+    assert sorted(map(tuple, incremental.merged(spark, folder).select(wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+    incremental.merge_into(folder, ["root", "path"], ["last_modified", "manifest_id"])(spark.createDataFrame(batches[2], schema), 2)  # a batch again
+    assert incremental.merged(spark, folder).count() == 4
+
+
+def test_net_changes_by_window(spark, tmp_path):
+    from quillon.streaming import incremental
+
+    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "create").otherwise("modify")
+    shaped = lambda s: s.select("ts", "event_id", F.col("user_id").cast("string").alias("path"), op.alias("op"))
+    found = run(spark, lambda s: incremental.net_changes(shaped(s), width="1 day"), str(tmp_path))
+    events = shaped(spark.read.parquet(EVENTS)).withColumn("ts", F.col("ts").cast("timestamp"))
+    ended = F.col("start") + F.expr("INTERVAL 1 DAY") <= F.lit(events.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 1 HOUR")
+    last = events.groupBy(F.window("ts", "1 day").start.alias("start"), "path").agg(F.max_by("op", F.struct("ts", "event_id")).alias("op")).where(ended)
+    wanted = last.select("start", "path", F.when(F.col("op") == "delete", "deleted").otherwise("there").alias("state"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
