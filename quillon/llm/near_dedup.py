@@ -236,7 +236,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     texts = materialise(
         docs.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("text_hash"))
         .join(involved, "node")
-        .join(nodes.select("node", "text_hash", "n_shingles", "signature"), ["node", "text_hash"])
+        .join(nodes.select("node", F.col("text_hash").alias("_hash"), "n_shingles", "signature"), "node")
+        .where("text_hash <=> _hash")  # after the join, which then keeps the rows where they are
+        .drop("_hash")
         .dropDuplicates(["node", "text_hash"]),
         "texts",
     )
