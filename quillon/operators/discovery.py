@@ -37,8 +37,8 @@ def latest_per_task(parsed: DataFrame) -> DataFrame:
     The winner comes from a partial aggregate, joined back; a window would sort each task's rows. A task with many rows is dealt over tasks of Spark.
     """
     own = parsed.where("task_id IS NOT NULL")
-    last = own.groupBy("task_id").agg(F.max_by("session_folder", F.struct("last_modified", "key")).alias("_last"), F.count("*").alias("_n"))
-    tasks = join_groups(own, last, ["task_id"], "_n", F.col("key")).where("session_folder = _last").select(*parsed.columns)
+    last = own.groupBy("task_id").agg(F.max_by("session_folder", F.struct("last_modified", "key")).alias("_last"))
+    tasks = join_groups(own, last, "task_id").where("session_folder = _last").select(*parsed.columns)
     return tasks.union(parsed.where("task_id IS NULL"))
 
 

@@ -48,8 +48,7 @@ def apply_diffs(files: DataFrame, dirs: DataFrame) -> tuple[DataFrame, DataFrame
     def left(rows: DataFrame) -> DataFrame:
         puts = last(rows).where("NOT _r.deleted")
         above = puts.select("path", F.explode(paths.ancestors(F.col("path"), itself=True)).alias("_above"))
-        sized = above.groupBy("_above").agg(F.count("*").alias("_n")).join(gone, "_above")  # a deleted top directory is above everything
-        over = join_groups(above, sized, ["_above"], "_n", F.col("path")).groupBy("path").agg(F.max("_gone").alias("_gone"))
+        over = join_groups(above, gone, "_above").groupBy("path").agg(F.max("_gone").alias("_gone"))
         kept = puts.join(over, "path", "left").where("_gone IS NULL OR _gone < _at")
         return kept.select("path", "_r.*").drop("deleted")
 

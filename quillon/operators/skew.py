@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key with more than 1/HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE of them, so that they may be broadcast.
-HOT_SHARE = 1000
-#: Parts over which the rows of a hot key are dealt.
-SALTS = 32
-
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, spread: Column, how: str = "inner") -> DataFrame:
-    """Join rows to one record a group; column `size` of groups is the number of the group's rows.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows to one record a key.
 
-    Rows of hot keys are dealt over SALTS parts by `spread`, and their record is repeated in each; all other keys join as they are.
-    The list of hot keys comes from the groups, within the query: nothing reaches the driver.
+    Groups that are small are broadcast by their size at run time. Else Spark's adaptive execution deals the rows of a hot key over tasks, with
+    its record in each. It does so only where both sides of the join are shuffles, which an aggregate that is joined on its own key is not: so
+    the join is on the key within a struct, for which both sides are shuffled.
     """
-    total = groups.agg(F.sum(size).alias("_total"))
-    hot = groups.join(F.broadcast(total)).where(F.col(size) * HOT_SHARE > F.col("_total")).select(*keys, F.lit(SALTS).alias("_parts"))
-    salted = lambda side: side.join(F.broadcast(hot), list(keys), "left")
-    left = salted(rows).withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0))).drop("_parts")
-    right = salted(groups).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)).cast("long") - 1))).drop("_parts")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    own = groups.where(F.col(key).isNotNull()).select(F.struct(key).alias("_key"), *[c for c in groups.columns if c != key])
+    return rows.withColumn("_key", F.struct(key)).join(own, "_key").drop("_key")

@@ -28,14 +28,14 @@ def uploads(files: DataFrame, root: str, prefix: str, chunk: int = CHUNK_SIZE) -
 def upload_plan(parts: DataFrame, seen: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds action: skip what the cache has seen (key) or what is stored with the same size (key, size); of equal keys one is uploaded.
 
-    One aggregate over parts, seen and stored, reduced before its shuffle, tells all of a key; parts join it once. A key that many parts have,
-    as that of the empty file, is dealt over tasks. If a key is stored more than once, its greatest size counts.
+    One aggregate over parts, seen and stored, reduced before its shuffle, tells all of a key; parts join it once, with a key that many
+    parts have, as that of the empty file, dealt over tasks. If a key is stored more than once, its greatest size counts.
     """
     none = F.lit(None).cast("long")
     stored_or_seen = seen.select("key", F.lit(True).alias("_s"), none.alias("_l")).unionByName(stored.select("key", F.lit(False).alias("_s"), F.col("size").cast("long").alias("_l")))
     every = parts.select("key", F.struct("path", "index").alias("_at"), F.lit(False).alias("_s"), none.alias("_l")).unionByName(stored_or_seen, allowMissingColumns=True)
-    known = every.groupBy("key").agg(F.min("_at").alias("_first"), F.max("_s").alias("_seen"), F.max("_l").alias("_size"), F.count("_at").alias("_n")).where("_n > 0")
-    joined = join_groups(parts, known, ["key"], "_n", F.struct("path", "index"))
+    known = every.groupBy("key").agg(F.min("_at").alias("_first"), F.max("_s").alias("_seen"), F.max("_l").alias("_size")).where("_first IS NOT NULL")
+    joined = join_groups(parts, known, "key")
     there = F.coalesce("_seen", F.lit(False)) | F.coalesce(F.col("_size") == F.col("length"), F.lit(False))
     own = (F.col("_first.path") == F.col("path")) & (F.col("_first.index") == F.col("index"))
     return joined.withColumn("action", F.when(there, "skip_stored").when(own, "upload").otherwise("skip_repeated")).select(*parts.columns, "action")

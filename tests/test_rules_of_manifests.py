@@ -128,25 +128,33 @@ def test_plain_application_keeps_what_is_below(spark):
 
 def test_hot_keys_are_shared_by_tasks(spark):
     """With half of all rows on one key, several tasks join it, and every row comes out once."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    def shared(rows, hot):
+        """How many tasks have rows of the hot key, all columns being read."""
+        own = rows.withColumn("p", F.spark_partition_id()).where(hot).groupBy("p").agg(F.count("*").alias("n"), F.sum(F.hash(*rows.columns)).alias("s"))
+        return sum(r.n > 100 for r in own.collect())
+
     try:
-        rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
-        groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-        joined = skew.join_groups(rows, groups, ["k"], "n", F.col("id"))
+        rows = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id", F.sha2(F.col("id").cast("string"), 256).alias("x"))
+        groups = rows.groupBy("k").agg(F.min("id").alias("first"))
+        joined = skew.join_groups(rows, groups, "k")
         assert joined.count() == 20_000 and joined.where("k = 7 AND first = 0").count() == 10_001
-        assert joined.where("k = 7").select(F.spark_partition_id()).distinct().count() > 2
-        parts = spark.range(6000).select(F.col("id").cast("string").alias("path"), F.lit(0).cast("long").alias("index"), F.lit(0).cast("long").alias("length"), F.when(F.col("id") < 4000, "empty").otherwise(F.col("id").cast("string")).alias("key"))
+        assert shared(joined, "k = 7") > 2
+        parts = spark.range(0, 6000, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("path"), F.lit(0).cast("long").alias("index"), F.lit(0).cast("long").alias("length"), F.when(F.col("id") < 4000, "empty").otherwise(F.col("id").cast("string")).alias("key"))
         none = spark.createDataFrame([], "key string, size long")
         plan = transfer.upload_plan(parts, none, none)
-        assert plan.where("key = 'empty'").select(F.spark_partition_id()).distinct().count() > 2
-        assert plan.groupBy("action").count().collect() is not None and plan.where("action = 'upload'").count() == 2001
-        files = spark.range(5000).select(F.lit(0).alias("idx"), F.col("id").alias("seq"), F.concat(F.lit("top/"), F.col("id").cast("string")).alias("path"), F.lit(False).alias("deleted"))
+        assert shared(plan, "key = 'empty'") > 2 and plan.where("action = 'upload'").count() == 2001 and plan.count() == 6000
+        objects = spark.range(0, 8000, 1, 8).select(F.concat(F.lit("step-1/task-"), F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")), F.lit("/1_sessionaction-1/"), F.sha2(F.col("id").cast("string"), 256), F.lit("_output")).alias("key"), F.lit(1).cast("long").alias("last_modified"))
+        latest = discovery.latest_per_task(discovery.parse_keys(objects))
+        assert latest.count() == 8000 and shared(latest, "task_id = 'task-hot'") > 2
+        files = spark.range(0, 5000, 1, 8).select(F.lit(0).alias("idx"), F.col("id").alias("seq"), F.concat(F.lit("top/"), F.col("id").cast("string")).alias("path"), F.lit(False).alias("deleted"))
         dirs = spark.createDataFrame([(1, 0, "top", True)], "idx int, seq long, path string, deleted boolean")
         assert merge.apply_diffs(files, dirs)[0].count() == 0
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
+        for k in small:
+            spark.conf.unset(k)
 
 
 def test_hashes_of_fixed_values(spark):
