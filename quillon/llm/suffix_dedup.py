@@ -44,7 +44,7 @@ BLOCK = 1 << 15
 #: Units gathered in a task before equal ones among them are reduced.
 FLUSH = 400_000
 #: Texts that an index takes of one group: larger groups are dealt further by content, into indexes alike; and bytes of texts indexed at a time.
-SPLIT, INDEX_BYTES = 1024, 1 << 17
+SPLIT, INDEX_BYTES = 512, 1 << 17
 NO_ID = (1 << 63) - 1
 #: Where there are null ids, keys of documents from here on are those of texts without an id.
 NULLS = 1 << 62
