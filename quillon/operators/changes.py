@@ -70,3 +70,20 @@ def outputs_since(walked: DataFrame, recorded: DataFrame) -> DataFrame:
     """Files of a walk (path, mtime) that are newer than recorded, or not recorded: what a job has put out. Two rows of a path count as the later."""
     known = recorded.groupBy("path").agg(F.max("mtime").alias("_known"))
     return walked.join(known, "path", "left").where("_known IS NULL OR mtime > _known").select(*walked.columns)
+
+
+def difference_rows(states: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of a difference manifest from (path, state): new and modified files as they are now, and a bare marker for each deleted one.
+
+    A new or modified path that is not among the files has gone since, and is left out.
+    """
+    put = files.join(states.where("state IN ('new', 'modified')").select("path"), "path", "left_semi").withColumn("deleted", F.lit(False))
+    gone = states.where("state = 'deleted'").select("path", F.lit(True).alias("deleted"))
+    return put.unionByName(gone, allowMissingColumns=True)
+
+
+def in_directory(states: DataFrame, directory: str, state: str | None = "new") -> DataFrame:
+    """(name, path, state) of the changed files that lie in a directory itself."""
+    top = directory.rstrip("/")
+    own = states.where(F.regexp_replace("path", "/?[^/]*$", "") == top)
+    return (own if state is None else own.where(F.col("state") == state)).select(F.substring_index("path", "/", -1).alias("name"), "path", "state")

@@ -132,3 +132,15 @@ def difference(parent: DataFrame, parent_dirs: DataFrame, entries: DataFrame, ro
     gone = status.where("status = 'deleted'").select("path", F.lit(True).alias("deleted"))
     files = put.unionByName(gone, allowMissingColumns=True)
     return files, directory_status(parent, parent_dirs, entries, root, keep)[1]
+
+
+def output_manifest(entries: DataFrame, recorded: DataFrame, root: str, within: list[str] | None = None) -> DataFrame:
+    """Files of a walk that are newer than recorded (path, mtime), or not recorded, hashed: what a job has put out, of all folders or of some."""
+    from quillon.operators.changes import outputs_since
+
+    own = entries.where("NOT is_dir AND NOT is_link")
+    if within is not None:
+        tops = F.array(*[F.lit(w.rstrip("/")) for w in within])
+        own = own.where(F.exists(tops, lambda w: paths.under(F.col("path"), w)))
+    found = chunk_hashes(outputs_since(own.select("path", "size", "mtime", "mode"), recorded), root)
+    return found.select("path", "hash", "size", "mtime", is_executable(F.col("mode")).alias("runnable"), "chunkhashes")

@@ -983,3 +983,31 @@ def scan_status(spark, d):
     known = now.where(k != 0).withColumn("hash", F.when((k == 1) & (F.col("size") > 0), "other").otherwise(F.col("hash")))
     gone = now.limit(1).withColumn("path", F.lit("gone"))
     return diff.rollup(scan.directory_status(known.union(gone), dirs, entries, to, hashed=True)[0])
+
+
+@query("SELECT count(*) AS n, sum(octet_length(encode(json)))::BIGINT AS bytes, count(*) FILTER (doc) AS n_there FROM (SELECT '{\"k\":' || n_nationkey || '}' AS json, true AS doc FROM nation)")
+def published_manifests(spark, d):
+    """Manifests put under their keys, and looked up in a listing."""
+    folder = new_folder(spark, "manifests")
+    rows = t.read(spark, d, "nation").select(F.concat(F.lit("farm/queue/Inputs/g/"), F.md5(F.col("n_nationkey").cast("string")), F.lit("_input")).alias("key"), F.concat(F.lit('{"k":'), F.col("n_nationkey").cast("string"), F.lit("}")).alias("json"))
+    store.publish(rows, folder).write.parquet(f"{folder}.written")
+    listed = store.objects(spark, folder, ("farm/queue",))
+    asked = store.contains(spark.read.parquet(f"{folder}.written").select("key", "size"), listed)
+    return asked.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.count_if("is_there").alias("n_there"))
+
+
+@query(f"""SELECT path, CASE state WHEN 'deleted' THEN NULL ELSE n END AS size, state = 'deleted' AS deleted FROM {_STATES} JOIN (SELECT path, count(*) AS n FROM {t.CHANGES} GROUP BY path) USING (path) WHERE state IS NOT NULL""")
+def difference_of_changes(spark, d):
+    """The difference manifest that a stream of changes makes."""
+    files = t.changes(spark, d).groupBy("path").agg(F.count("*").alias("size"))
+    return changes.difference_rows(_states(spark, d), files).select("path", "size", "deleted")
+
+
+@query("""SELECT source AS manifest_id, CASE WHEN k = 0 THEN 'SnapshotWithDeletions' WHEN k = 2 THEN 'DiffWithoutParent' END AS problem FROM (SELECT DISTINCT source, length(source) % 3 AS k FROM documents)
+    WHERE true""")
+def header_problems(spark, d):
+    k = F.length("manifest_id") % 3
+    rows = t.read(spark, d, "documents").select(F.col("source").alias("manifest_id"))
+    headers = rows.distinct().select("manifest_id", F.when(k == 2, manifests.SPEC_VERSIONS[3]).otherwise(manifests.SPEC_VERSIONS[2]).alias("spec_version"), F.lit(None).cast("string").alias("parent_manifest_hash"))
+    gone = rows.select("manifest_id", (k == 0).alias("deleted"))
+    return manifests.header_problem(gone, gone.limit(0), headers)

@@ -64,6 +64,31 @@ def spec_name(path_style: Column, kind: Column) -> Column:
     return F.when(name.isin(*SPEC_VERSIONS), name)
 
 
+def narrowed(headers: DataFrame, path_style: str | None = None, kind: str | None = None) -> DataFrame:
+    """The headers of manifests that must be absolute or relative, snapshot or diff; another one raises, as does a diff without its parent's hash."""
+    v = spec_version(F.col("spec_version"))
+    bad = F.coalesce(v["path_style"] != path_style, F.lit(True)) if path_style else F.lit(False)
+    if kind:
+        bad = bad | F.coalesce(v["type"] != kind, F.lit(True))
+    bad = bad | F.coalesce((v["type"] == "diff") & F.col("parent_manifest_hash").isNull(), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("not the kind of manifest that is asked for: "), F.coalesce("spec_version", F.lit("none")))).cast("string")
+    return headers.withColumn("spec_version", F.when(bad, wrong).otherwise(F.col("spec_version")))
+
+
+def restyled(headers: DataFrame, path_style: str) -> DataFrame:
+    """The headers as those of absolute or relative paths; the paths themselves go by select.join_prefix and select.subtree."""
+    return headers.withColumn("spec_version", spec_name(F.lit(path_style), spec_version(F.col("spec_version"))["type"]))
+
+
+def header_problem(files: DataFrame, dirs: DataFrame, headers: DataFrame) -> DataFrame:
+    """(manifest_id, problem): a snapshot that deletes, a diff without its parent's hash; null for what is in order."""
+    gone = lambda rows: rows.where(F.coalesce("deleted", F.lit(False))).select("manifest_id")
+    deletes = gone(files).union(gone(dirs)).distinct().withColumn("_deletes", F.lit(True))
+    kind = spec_version(F.col("spec_version"))["type"]
+    problem = F.when((kind == "snapshot") & F.coalesce("_deletes", F.lit(False)), "SnapshotWithDeletions").when((kind == "diff") & F.col("parent_manifest_hash").isNull(), "DiffWithoutParent")
+    return headers.join(deletes, "manifest_id", "left").select("manifest_id", problem.alias("problem"))
+
+
 def content_type(version: Column, parent_manifest_hash: Column, names: tuple[str, str, str]) -> Column:
     """The media type under which a manifest is stored; names: those of the older form, of snapshots and of differences."""
     older, plain, diff = names

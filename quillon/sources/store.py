@@ -45,6 +45,35 @@ def head(keys: DataFrame, listing: DataFrame) -> DataFrame:
     return keys.join(listing, "key", "left")
 
 
+def contains(asked: DataFrame, listing: DataFrame) -> DataFrame:
+    """Adds is_there to (key) or (key, size): whether there is an object of that key, and of that size where one is given."""
+    own = listing.groupBy("key").agg(F.max("size").alias("_size"))
+    there = F.col("_size").isNotNull()
+    if "size" in asked.columns:
+        there = there & (F.col("size").isNull() | (F.col("size") == F.col("_size")))
+    return asked.join(own, "key", "left").withColumn("is_there", F.coalesce(there, F.lit(False))).drop("_size")
+
+
+def publish(manifests: DataFrame, folder: str) -> DataFrame:
+    """Write manifests (key, json) below the folder: (key, hash, size), hash being that of the text's bytes. An earlier one of a key is replaced."""
+    import xxhash
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = open_folder(folder)
+        for batch in batches:
+            hashes, sizes = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = text.encode()
+                parent, _, name = f"{at}/{key}".rpartition("/")
+                fs.create_dir(parent, recursive=True)
+                _write(fs, parent, name, iter([data]))
+                hashes.append(xxhash.xxh3_128_hexdigest(data))
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.string()), pa.array(sizes, pa.int64())], names=["key", "hash", "size"])
+
+    return manifests.select("key", "json").mapInArrow(written, "key string, hash string, size long")
+
+
 def _size(fs, path: str) -> int | None:
     info = fs.get_file_info(path)
     return info.size if info.is_file else None

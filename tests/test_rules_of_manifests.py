@@ -180,3 +180,25 @@ def test_renames_and_sampled_keys(spark):
     cache = spark.range(100).select(F.col("id").cast("string").alias("k"))
     first = [r.k for r in tree.sampled_keys(cache, "k", 9).collect()]
     assert len(set(first)) == 9 and first == [r.k for r in tree.sampled_keys(cache.repartition(5), "k", 9).collect()]
+
+
+def test_kinds_of_manifests_and_rows(spark):
+    from quillon.schema import file_row
+    from quillon.sources import manifests
+
+    a, b, c, e = manifests.SPEC_VERSIONS
+    headers = spark.createDataFrame([(1, a, None), (2, c, None)], "manifest_id int, spec_version string, parent_manifest_hash string")
+    assert manifests.narrowed(headers, kind="snapshot").count() == 2 and [r.spec_version for r in manifests.restyled(headers, "relative").collect()] == [c, c]
+    for wrong in (lambda: manifests.narrowed(headers, "absolute"), lambda: manifests.narrowed(headers.withColumn("spec_version", F.lit(e)))):
+        with pytest.raises(Exception, match="not the kind"):
+            wrong().collect()
+    rows = spark.range(1).select(*file_row(F.lit("p"), symlink_target=F.lit("t")))
+    assert tuple(rows.first()) == ("p", None, None, None, False, None, "t", False)
+
+
+def test_changes_in_a_directory(spark):
+    states = spark.createDataFrame([("a/b", "new"), ("a/c/d", "new"), ("a/e", "deleted"), ("f", "new")], "path string, state string")
+    assert [(r.name, r.path) for r in changes.in_directory(states, "a/").collect()] == [("b", "a/b")]
+    assert [r.name for r in changes.in_directory(states, "").collect()] == ["f"] and changes.in_directory(states, "a", None).count() == 2
+    files = spark.createDataFrame([("a/b", 1), ("f", 2), ("z", 3)], "path string, size int")
+    assert {(r.path, r["size"], r.deleted) for r in changes.difference_rows(states, files).collect()} == {("a/b", 1, False), ("f", 2, False), ("a/e", None, True)}

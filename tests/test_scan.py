@@ -131,3 +131,11 @@ def test_manifests_by_root(spark, tmp_path):
     assert sorted(str(r.root) for r in store.stored_manifests(spark, str(tmp_path), roots, strict=False).collect()) == ["/r", "None"]
     with pytest.raises(Exception, match="no asset root"):
         store.stored_manifests(spark, str(tmp_path), roots).collect()
+
+
+def test_output_manifest(spark, tree):
+    entries = directory.walk(spark, tree)
+    recorded = spark.createDataFrame([("a/one", os.stat(f"{tree}/a/one").st_mtime_ns // 1000), ("top.txt", 5)], "path string, mtime long")
+    assert {r.path for r in scan.output_manifest(entries, recorded, tree).collect()} == FILES - {"a/one"}
+    got = {r.path: r.hash for r in scan.output_manifest(entries, recorded, tree, ["a/", "none"]).collect()}
+    assert set(got) == {"a/deep/er/two", "a/é ü.txt"} and got["a/deep/er/two"] == xxhash.xxh3_128_hexdigest(b"22")
