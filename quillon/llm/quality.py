@@ -6,9 +6,10 @@ A line (split at \\n, holding a word) fails by the first of these that holds:
   navigation   at least 3 of its words are bare separators (| > · » / - •) and they are at least a fifth of its words;
   symbols      `[#*$%&|<>]` are at least a tenth of its word characters;
   shouting     at least 3 words end in !! or more, and those are at least half of its words;
-  boilerplate  its lower-cased text is a known notice (BOILERPLATE), at whatever place;
+  boilerplate  its lower-cased text is a known notice in one of four languages (BOILERPLATE), at whatever place;
   repetition   it has at least 10 words, of which fewer than a fifth are distinct;
-  punctuation  it has at least 10 words and not one of the marks . ! ? : ; , or their full-width forms.
+  punctuation  it has at least 10 words and not one of the marks of its script (MARKS). A mark at the line's end is not asked for: prose that
+               is wrapped has few.
 A document is rejected if it has under 20 words, if more than 30 % of its words stand in repeated 8-word windows (these two:
 base_failed), or if its failed lines hold more than half of its word characters.
 
@@ -23,8 +24,16 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import SPACE, table, words
 
-#: Fixed notices that carry no content, as patterns on a lower-cased line.
-BOILERPLATE = r"^\W*(all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings)|accept (all )?cookies|skip to (main )?content|subscribe to our newsletter|back to top|share this( page| article)?)\W*$"
+#: Fixed notices that carry no content, as patterns on a lower-cased line: English, German, French, Spanish.
+_NOTICES = (
+    r"all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings)|accept (all )?cookies|skip to (main )?content|subscribe to our newsletter|back to top|share this( page| article)?",
+    r"alle rechte vorbehalten|datenschutz(erklärung|bestimmungen|richtlinie)?|impressum|nutzungsbedingungen|cookie-(richtlinie|einstellungen)|(alle )?cookies akzeptieren|zum (haupt)?inhalt springen|(unseren )?newsletter abonnieren|nach oben|(diese )?seite teilen",
+    r"tous droits réservés|politique de confidentialité|conditions (générales )?d\W?utilisation|mentions légales|(politique de|gérer les) cookies|accepter (tous )?les cookies|aller au contenu( principal)?|(abonnez|inscrivez)-vous à notre (newsletter|lettre d\W?information)|(retour en )?haut de page|partager cet(te)? (page|article)",
+    r"todos los derechos reservados|política de (privacidad|cookies)|(términos|condiciones) de uso|aviso legal|aceptar (todas las )?cookies|(ir|saltar) al contenido( principal)?|suscríbete a nuestro boletín|volver arriba|compartir (esta página|este artículo)",
+)
+BOILERPLATE = r"^\W*(" + "|".join(_NOTICES) + r")\W*$"
+#: Marks within or at the end of sentences, by script: Latin, East Asian, Arabic, Indic, Armenian, Ethiopic.
+MARKS = "[.!?:;,…。！？：；，、؟؛،۔।॥։՝።፣፤]"
 SYMBOLS = r"[#*$%&|<>]"
 WORD = r"[^\x20\x09-\x0D]"
 #: Shortest line to which the repetition and punctuation rules apply, in words.
@@ -57,7 +66,7 @@ def line_fails(line: Column) -> Column:
             | ((shouts >= 3) & (shouts * 2 >= n))
             | ((n <= LONG_LINE) & F.lower(line).rlike(BOILERPLATE))
             | ((n >= LONG_LINE) & (F.size(F.array_distinct(w)) * 5 < n))
-            | ((n >= LONG_LINE) & ~line.rlike("[.!?:;,。！？：；，]"))
+            | ((n >= LONG_LINE) & ~line.rlike(MARKS))
         )
 
     return let(words(line), rules)
@@ -182,9 +191,9 @@ judged AS (SELECT rid, len(array_to_string(lw, '')) AS chars,
        (len(list_filter(lw, lambda x: x IN ('|', '>', '·', '»', '/', '-', '•'))) >= 3 AND len(list_filter(lw, lambda x: x IN ('|', '>', '·', '»', '/', '-', '•'))) * 5 >= len(lw))
     OR len(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) * 10 >= len(array_to_string(lw, ''))
     OR (len(list_filter(lw, lambda x: x LIKE '%!!')) >= 3 AND len(list_filter(lw, lambda x: x LIKE '%!!')) * 2 >= len(lw))
-    OR (len(lw) <= 10 AND regexp_matches(lower(line), '^\W*(all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings)|accept (all )?cookies|skip to (main )?content|subscribe to our newsletter|back to top|share this( page| article)?)\W*$'))
+    OR (len(lw) <= 10 AND regexp_matches(lower(line), '@BOILERPLATE'))
     OR (len(lw) >= 10 AND len(list_distinct(lw)) * 5 < len(lw))
-    OR (len(lw) >= 10 AND NOT regexp_matches(line, '[.!?:;,。！？：；，]')) AS fails FROM ln),
+    OR (len(lw) >= 10 AND NOT regexp_matches(line, '@MARKS')) AS fails FROM ln),
 good AS (SELECT rid, sum(chars) AS chars FROM judged WHERE NOT fails GROUP BY rid),
 m AS (SELECT doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
              len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words, coalesce(good.chars, 0) AS good
@@ -193,5 +202,5 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed,
        NOT (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AND good * 100 >= word_chars * 50 AS kept
 FROM m
-"""
+""".replace("@BOILERPLATE", BOILERPLATE).replace("@MARKS", MARKS)
 }

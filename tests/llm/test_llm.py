@@ -802,3 +802,10 @@ def test_quality_filter_judges_as_measured(docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == good
     odd = docs.withColumns({"row": F.lit(1), "col": F.lit("x")})
     assert quality.filter_documents(odd).columns == odd.columns and quality.filter_documents(odd.where("false")).count() == 0
+
+
+def test_notices_in_four_languages_and_marks_of_scripts(spark):
+    bad = ["Alle Rechte vorbehalten.", "Datenschutzerklärung", "» Zum Inhalt springen", "Tous droits réservés !", "Conditions d'utilisation", "Conditions générales d’utilisation", "Política de privacidad", "[Volver arriba]", "Aceptar todas las cookies"]
+    good = ["Alle Rechte haben Grenzen.", "La politique de la ville est claire.", "यह एक लंबी पंक्ति है जिसमें दस से अधिक शब्द हैं ।", "هذا سطر طويل فيه أكثر من عشر كلمات أليس كذلك يا صديقي؟"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(bad + good)], "i int, text string")
+    assert [r.x for r in frame.select("i", quality.line_fails(F.col("text")).alias("x")).orderBy("i").collect()] == [True] * len(bad) + [False] * len(good)
