@@ -35,8 +35,8 @@ from quillon.llm.components import components
 BANDS, ROWS = 28, 5
 #: Standard deviations below the threshold at which a signature rules a pair out.
 SIGMAS = 6
-#: Words remembered with their hash in a worker.
-MEMO_WORDS = 400_000
+#: Bytes, about, that the words which a worker remembers with their hashes may take; what a word takes besides its letters.
+MEMO_BYTES, WORD_BYTES = 64_000_000, 150
 BLOCK = 8192
 #: Cells of the sketch of shingle frequencies.
 CELLS = 1 << 20
@@ -45,10 +45,18 @@ BLOCK_ROWS, MOST_BLOCKS = 4096, 256
 
 
 class _Memo(dict):
+    letters = 0
+
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh3_64_intdigest(word)
+        self.letters += len(word)
         return h
 
+    def bound(self) -> None:
+        if len(self) * WORD_BYTES + self.letters > MEMO_BYTES:
+            self.clear()
+            self.letters = 0
+
 
 def split_words(text: str | None) -> list[bytes]:
     """Words with A-Z lower-cased."""
@@ -98,8 +106,7 @@ def sign(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataF
         memo, (a, b) = _Memo(), _functions(bands * rows)
         salt = _mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
+            memo.bound()
             size, key, band, sig = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = split_words(text)
@@ -160,8 +167,7 @@ def frequencies(texts: DataFrame, k: int) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, cells = _Memo(), np.zeros(CELLS, np.int64)
         for batch in batches:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
+            memo.bound()
             text = batch.column("text")
             for i in range(batch.num_rows):
                 h = shingle_hashes(split_words(text[i].as_py()), k, memo)
@@ -182,8 +188,7 @@ def prefixes(texts: DataFrame, often: np.ndarray, k: int, num: int, den: int) ->
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()
         for batch in batches:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
+            memo.bound()
             node, text, out = batch.column("node").to_pylist(), batch.column("text"), [[], [], [], []]
             for i, x in enumerate(node):
                 h = shingle_hashes(split_words(text[i].as_py()), k, memo)

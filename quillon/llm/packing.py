@@ -29,8 +29,9 @@ from pyspark.sql.window import Window
 
 from quillon.llm.common import materialise, table
 
-#: Words remembered with their ids in each worker; memory only, never the result.
-MEMO_WORDS = 700_000
+#: Bytes, about, that words and pre-tokens remembered with their ids in a worker may take; what each takes besides its letters and ids. Memory
+#: only, never the result.
+MEMO_BYTES, WORD_BYTES = 250_000_000, 160
 #: Documents, and bytes of text unless one alone has more, encoded at a time.
 BATCH, BATCH_BYTES = 1024, 4_000_000
 #: Buckets of a length: at least, at most, and rows for another one.
@@ -78,6 +79,7 @@ class Encoder:
     def forget(self) -> None:
         self.words: dict[str, int] = {}
         self.known: dict[str, list[int]] = {}  # ids of a pre-token
+        self.bytes = 0
         self.start, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)  # ids of word k: flat[start[k]:start[k + 1]]
 
     def ids(self, pretoken: str) -> list[int]:
@@ -85,6 +87,7 @@ class Encoder:
         if found is None:
             letters = pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(self.letters)
             found = self.known[pretoken] = [t.id for t in self.tokenize(letters)]
+            self.bytes += WORD_BYTES + len(pretoken) + 40 * len(found)
         return found
 
     def numbers(self, words: list[str]) -> np.ndarray:
@@ -93,6 +96,7 @@ class Encoder:
         for w in words:
             if w not in known:
                 known[w] = len(known)
+                self.bytes += WORD_BYTES + len(w)
                 if w.isalpha():  # one run of letters
                     flat += self.ids(w)
                 elif w[:-1].isalpha() and w[-1] in ".,":
@@ -103,13 +107,14 @@ class Encoder:
                         flat += self.ids(p)
                 ends.append(len(flat))
         if ends:
+            self.bytes += 4 * len(flat)
             self.start = np.concatenate([self.start, np.asarray(ends, np.int64) + len(self.flat)])
             self.flat = np.concatenate([self.flat, np.asarray(flat, np.uint32)])
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text. Distinct words are found by Arrow for all the texts together."""
-        if len(self.words) > MEMO_WORDS:
+        if self.bytes > MEMO_BYTES:
             self.forget()
         plain = [not t or (self.PLAIN.fullmatch(t) is not None and not self.special.search(t)) for t in texts]
         split = pc.ascii_split_whitespace(pa.array([t.lower() if t and p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
