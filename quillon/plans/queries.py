@@ -13,6 +13,7 @@ from quillon.operators import changes, diff, discovery, locations, merge, scan,
 from quillon.plans import tables as t
 from quillon.sources import directory, encode, manifests, store
 from quillon.sources.shared import new_folder
+from quillon.streaming import access, incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1011,3 +1012,47 @@ def header_problems(spark, d):
     headers = rows.distinct().select("manifest_id", F.when(k == 2, manifests.SPEC_VERSIONS[3]).otherwise(manifests.SPEC_VERSIONS[2]).alias("spec_version"), F.lit(None).cast("string").alias("parent_manifest_hash"))
     gone = rows.select("manifest_id", (k == 0).alias("deleted"))
     return manifests.header_problem(gone, gone.limit(0), headers)
+
+
+# Streams -------------------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark, d, make, name):
+    """A stream of events, run to its end; what it has written."""
+    folder = new_folder(spark, name)
+    stream = spark.readStream.schema(t.read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    query_ = make(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}.state").trigger(availableNow=True).start(folder)
+    query_.awaitTermination()
+    return spark.read.parquet(folder)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, d):
+    return _streamed(spark, d, lambda s: access.first_seen(s.select("ts", "user_id", "event_type"), ["user_id", "event_type"], delay="3650 days"), "seen").select("user_id", "event_type")
+
+
+_ENDED = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+
+
+@query(f"SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 1 DAY, any_value(ts)) + INTERVAL 1 DAY <= {_ENDED}")
+def stream_access_counts(spark, d):
+    """Counts of the days that had ended when the stream did."""
+    found = _streamed(spark, d, lambda s: access.access_counts(s.select("ts", "event_type"), ["event_type"]), "counts")
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query(f"""SELECT strftime(day, '%Y-%m-%d') AS day, path, CASE WHEN op = 'delete' THEN 'deleted' ELSE 'there' END AS state FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, path, arg_max(op, (ts, event_id)) AS op FROM {t.CHANGES} WHERE op <> 'read' GROUP BY ALL)
+    WHERE day + INTERVAL 1 DAY <= {_ENDED}""")
+def stream_net_changes(spark, d):
+    found = _streamed(spark, d, lambda s: incremental.net_changes(t.as_changes(s), width="1 day"), "changes")
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "path", "state")
+
+
+@query("SELECT user_id % 20 AS root, user_id AS path, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+def stream_merged_outputs(spark, d):
+    """A stream merged batch by batch: of each root and path the last."""
+    folder = new_folder(spark, "merged")
+    stream = spark.readStream.schema(t.read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = stream.select((F.col("user_id") % 20).alias("root"), F.col("user_id").alias("path"), F.col("ts").alias("last_modified"), F.col("event_id").alias("manifest_id"), "value")
+    incremental.merge_outputs(rows, folder, f"{folder}.state").awaitTermination()
+    return incremental.merged(spark, folder).select("root", "path", "value")

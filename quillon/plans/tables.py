@@ -90,8 +90,12 @@ PARSED = f"""(SELECT key, coalesce(last_modified, 0)::BIGINT AS last_modified, n
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
     """Changes to files from events: seq, path, op."""
+    return as_changes(read(spark, d, "events"))
+
+
+def as_changes(events: DataFrame) -> DataFrame:
     op = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "purchase", "modify").when(F.col("event_type") == "error", "delete").otherwise("read")
-    return read(spark, d, "events").select(F.struct("ts", "event_id").alias("seq"), "ts", "event_id", F.concat(F.lit("f/"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 3).cast("string")).alias("path"), op.alias("op"))
+    return events.select(F.struct("ts", "event_id").alias("seq"), "ts", "event_id", F.concat(F.lit("f/"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 3).cast("string")).alias("path"), op.alias("op"))
 
 
 CHANGES = """(SELECT ts, event_id, 'f/' || user_id || '/' || (event_id % 3) AS path,
