@@ -246,6 +246,7 @@ def scan(text: Column) -> Column:
 
 
 def scan_documents(docs: DataFrame, text: str = "text", into: str = "license") -> DataFrame:
+    """Adds the struct column `into` of scan; a column of that name is replaced."""
     return docs.withColumn(into, scan(F.col(text)))
 
 
