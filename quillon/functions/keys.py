@@ -78,6 +78,6 @@ def manifest_properties(root: Column, outputs: Column, key: Column, digest: Colu
     )
 
 
-def attachments(properties: Column, file_system: str = "COPIED") -> Column:
+def job_payload(properties: Column, file_system: str = "COPIED") -> Column:
     """The JSON by which a job names its manifests; nulls are left out."""
     return F.to_json(F.struct(properties.alias("manifests"), F.lit(file_system).alias("fileSystem")))
