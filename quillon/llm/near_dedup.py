@@ -36,7 +36,7 @@ BANDS, ROWS = 28, 5
 #: Standard deviations below the threshold at which a signature rules a pair out.
 SIGMAS = 6
 #: Bytes, about, that the words which a worker remembers with their hashes may take; what a word takes besides its letters.
-MEMO_BYTES, WORD_BYTES = 64_000_000, 150
+MEMO_BYTES, WORD_BYTES = 48_000_000, 150
 BLOCK = 8192
 #: Cells of the sketch of shingle frequencies.
 CELLS = 1 << 20
@@ -108,7 +108,7 @@ def sign(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataF
         for batch in batches:
             memo.bound()
             size, key, band, sig = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in map(pa.Scalar.as_py, batch.column(1)):  # one at a time
                 words = split_words(text)
                 h = shingle_hashes(words, k, memo)
                 size.append(len(h))

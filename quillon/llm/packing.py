@@ -31,7 +31,7 @@ from quillon.llm.common import materialise, table
 
 #: Bytes, about, that words and pre-tokens remembered with their ids in a worker may take; what each takes besides its letters and ids. Memory
 #: only, never the result.
-MEMO_BYTES, WORD_BYTES = 250_000_000, 160
+MEMO_BYTES, WORD_BYTES = 140_000_000, 160
 #: Documents, and bytes of text unless one alone has more, encoded at a time.
 BATCH, BATCH_BYTES = 1024, 4_000_000
 #: Buckets of a length: at least, at most, and rows for another one.

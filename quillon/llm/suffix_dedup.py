@@ -25,7 +25,7 @@ units and spans of one document are collected with its text; an empty table give
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -95,7 +95,7 @@ def units(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int) -
     return h[at], text, lo, end
 
 
-def _blocks(ids: list, texts: list, length: int) -> Iterator[tuple]:
+def _blocks(ids: list, texts: Iterable[str | None], length: int) -> Iterator[tuple]:
     """(data, starts, ends, document ids, first byte of each) for texts together, or for blocks of long ones."""
 
     def joined(part):
@@ -190,7 +190,7 @@ def find_units(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, count = [], 0
         for batch in batches:
-            for data, starts, ends, ids, offsets in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
+            for data, starts, ends, ids, offsets in _blocks(batch.column(0).to_pylist(), map(pa.Scalar.as_py, batch.column(1)), length):
                 anchor, text, lo, hi = units(data, ends, starts, length)
                 k = np.searchsorted(ends, lo, side="right")
                 own.append((anchor, text, ids[k], lo - starts[k] + offsets[k], hi - starts[k] + offsets[k]))
