@@ -2,8 +2,8 @@
 
 Vectors are whole numbers. Each task indexes blocks of its own vectors: a component that is not 0 is a posting (place of the vector, value) of its
 dimension, and each dimension's postings are ordered by impact, the magnitude, quantised to LEVELS; those of one level are a segment.
-A query takes the segments of all dimensions by descending impact on its score, |query component| x level: in rounds, each down to half
-the impact of the round before. What a candidate can still gain or lose is at most the sum over the dimensions of |query component| x the
+Queries, TOGETHER at a time, take the segments of all dimensions by descending impact on their scores, |query component| x level: in rounds,
+each down to half the impact of the round before. What a candidate can still gain or lose is at most the sum over the dimensions of |query component| x the
 greatest value of the segments not yet taken. A query stops on the proof that all but a few candidates lie below its k-th best; these few are
 scored again exactly. Without proof it goes on to the last segment, where all scores are exact.
 
@@ -29,8 +29,8 @@ from pyspark.sql.window import Window
 
 from quillon.llm.common import materialise_at, read_shared, table
 
-#: Queries of a block; vectors indexed together; levels of impact; candidates left at which a query may stop.
-QUERIES, VECTORS, LEVELS, FEW = 2048, 16384, 12, 32
+#: Queries of a block, and those that take segments together; vectors indexed together; levels of impact; candidates left at which a query may stop.
+QUERIES, TOGETHER, VECTORS, LEVELS, FEW = 2048, 128, 16384, 12, 32
 BEST = "query_id long, vec_id long, score long"
 LONG = (1 << 63) - 1
 #: Sums of products of whole numbers below this are exact as doubles.
@@ -70,43 +70,65 @@ class Index:
         self.top = np.stack([greatest(l) for l in range(LEVELS - 1, -1, -1)], axis=1) if self.dims else np.zeros((0, LEVELS))
 
 
-def search(index: Index, query: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """Places of the possible members of a query's k best; `own`: places that do not answer it."""
-    scores = np.zeros(index.count)
-    scores[own] = -np.inf
-    impact = np.abs(query)[:, None] * index.top
+def search_together(index: Index, queries: np.ndarray, own: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of each query: places of the possible members of its k best; `own`: places that do not answer it.
+
+    The queries' segments are taken in one order, by the greatest impact on any of them; each is proved by itself, and left out from then on.
+    """
+    found: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
+    active = np.arange(len(queries))
+    scores = np.zeros((index.count, len(queries)))
+    for q, places in enumerate(own):
+        scores[places, q] = -np.inf
     # The impact of what a dimension still holds, and how many of its segments are taken.
-    ahead = np.maximum.accumulate(impact[:, ::-1], axis=1)[:, ::-1]
+    size = np.abs(queries)
+    ahead = np.maximum.accumulate(index.top[:, ::-1], axis=1)[:, ::-1]
     ahead = np.concatenate([ahead, np.zeros((index.dims, 1))], axis=1)
-    taken = np.zeros(index.dims, np.int64)
-    rows = np.arange(index.dims)
-    least = float(ahead[:, 0].max(initial=0))
-    while True:
-        least /= 2
-        open_ = float(ahead[rows, taken].max(initial=0))
+    impact = size.max(axis=0, initial=0)[:, None] * ahead
+    taken, rows = np.zeros(index.dims, np.int64), np.arange(index.dims)
+    least = float(impact.max(initial=0))
+
+    def settle(columns: np.ndarray, bounds: np.ndarray, always: bool) -> np.ndarray:
+        """Which of the columns are settled: members are those within twice the bound of the k-th best score."""
+        done = np.zeros(scores.shape[1], bool)
+        if index.count > k and len(columns):
+            kth = np.partition(scores[:, columns], index.count - k, axis=0)[index.count - k]
+        else:
+            kth = np.full(len(columns), -np.inf)
+        for c, least_score in zip(columns.tolist(), (kth - 2 * bounds).tolist(), strict=True):
+            possible = np.flatnonzero(scores[:, c] >= least_score)
+            if always or len(possible) <= FEW:
+                found[active[c]] = possible[scores[possible, c] > -np.inf]
+                done[c] = True
+        return done
+
+    while len(active):
+        open_ = float(impact[rows, taken].max(initial=0))
         if open_ <= 0:
+            settle(np.arange(len(active)), np.zeros(len(active)), True)
             break
-        if open_ < least:
-            least = open_ / 2
-        to = (ahead > least).sum(axis=1)
+        least = min(least / 2, open_ / 2) if open_ < least else least / 2
+        to = (impact > least).sum(axis=1)
         start = np.where(taken > 0, index.end[rows, np.maximum(taken - 1, 0)], 0)
         end = np.where(to > 0, index.end[rows, np.maximum(to - 1, 0)], 0)
-        some = np.flatnonzero(end > start)
-        if len(some):
-            spans = [(d, slice(a, b)) for d, a, b in zip(some.tolist(), start[some].tolist(), end[some].tolist(), strict=True)]
-            at = np.concatenate([index.at[d, s] for d, s in spans])
-            gains = np.concatenate([index.value[d, s] * query[d] for d, s in spans])
-            scores += np.bincount(at, gains, minlength=index.count)
+        asked = np.ascontiguousarray(queries[active].T)
+        for d in np.flatnonzero(end > start).tolist():
+            at = slice(start[d], end[d])
+            scores[index.at[d, at]] += index.value[d, at, None] * asked[d]
         taken = np.maximum(taken, to)
-        rest = float(ahead[rows, taken].sum())
-        if rest > 0 and index.count > k:
-            possible = np.flatnonzero(scores >= np.partition(scores, index.count - k)[index.count - k] - 2 * rest)
-            if len(possible) <= FEW:
-                return possible[scores[possible] > -np.inf]
-    if index.count > k:
-        possible = np.flatnonzero(scores >= np.partition(scores, index.count - k)[index.count - k])
-        return possible[scores[possible] > -np.inf]
-    return np.flatnonzero(scores > -np.inf)
+        rest = size[active] @ ahead[rows, taken]
+        # The proof is tried where what is left is small beside the best score.
+        hopeful = np.flatnonzero((rest > 0) & (4 * rest < scores.max(axis=0, initial=0))) if index.count > k else active[:0]
+        if len(hopeful):
+            left = ~settle(hopeful, rest[hopeful], False)
+            if not left.all():
+                scores, active = np.ascontiguousarray(scores[:, left]), active[left]
+    return found
+
+
+def search(index: Index, query: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """search_together of one query."""
+    return search_together(index, query[None, :], [own], k)[0]
 
 
 def _exact(vectors: np.ndarray, query: np.ndarray) -> list[int]:
@@ -146,16 +168,21 @@ def best_of(candidates: DataFrame, queries: str, k: int) -> DataFrame:
             for length, query_ids, asked in _vectors(batch):
                 if length != n:
                     continue
-                for q, query in zip(query_ids.tolist(), asked, strict=True):
-                    if np.abs(query).max(initial=0) < limit:
-                        members = plain[search(index, query, np.asarray(place.get(q, []), np.int64), k)]
-                        found = _best(ids[members], (vectors[members] @ query).astype(np.int64), k)
-                        others = wide[ids[wide] != q]
-                    else:
-                        found, others = [], np.flatnonzero(ids != q)
-                    if len(others):
-                        found = sorted([*found, *_best(ids[others], _exact(vectors[others], query), k)])[:k]
-                    out += [(q, i, -s) for s, i in found]
+                narrow = np.abs(asked).max(axis=1, initial=0) < limit
+                for at in range(0, len(asked), TOGETHER):
+                    part = np.arange(at, min(at + TOGETHER, len(asked)))
+                    some = part[narrow[part]]
+                    own = [np.asarray(place.get(q, []), np.int64) for q in query_ids[some].tolist()]
+                    members = dict(zip(some.tolist(), search_together(index, asked[some], own, k), strict=True))
+                    for j in part.tolist():
+                        q, query, found = int(query_ids[j]), asked[j], []
+                        if j in members:
+                            m = plain[members[j]]
+                            found = _best(ids[m], (vectors[m] @ query).astype(np.int64), k)
+                        others = wide[ids[wide] != q] if j in members else np.flatnonzero(ids != q)
+                        if len(others):
+                            found = sorted([*found, *_best(ids[others], _exact(vectors[others], query), k)])[:k]
+                        out += [(q, i, -s) for s, i in found]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
