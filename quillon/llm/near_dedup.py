@@ -108,7 +108,7 @@ def sign(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataF
         for batch in batches:
             memo.bound()
             size, key, band, sig = [], [], [], []
-            for text in map(pa.Scalar.as_py, batch.column(1)):  # one at a time
+            for text in (t.as_py() for t in batch.column(1)):  # one at a time
                 words = split_words(text)
                 h = shingle_hashes(words, k, memo)
                 size.append(len(h))

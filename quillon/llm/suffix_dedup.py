@@ -190,7 +190,7 @@ def find_units(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, count = [], 0
         for batch in batches:
-            for data, starts, ends, ids, offsets in _blocks(batch.column(0).to_pylist(), map(pa.Scalar.as_py, batch.column(1)), length):
+            for data, starts, ends, ids, offsets in _blocks(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)), length):
                 anchor, text, lo, hi = units(data, ends, starts, length)
                 k = np.searchsorted(ends, lo, side="right")
                 own.append((anchor, text, ids[k], lo - starts[k] + offsets[k], hi - starts[k] + offsets[k]))
