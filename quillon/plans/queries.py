@@ -82,7 +82,7 @@ def _dirs(spark, d, keep):
 
 
 _PART_DIRS = "SELECT DISTINCT p_type || '/' || p_brand AS path FROM part WHERE p_partkey % "
-_PART_FILES = "(SELECT p_type || '/' || p_brand || '/' || p_name AS path FROM part WHERE p_partkey % 5 = 3)"
+_PART_FILES = "(SELECT p_type || '/' || p_brand || '/' || p_name AS path FROM part WHERE p_partkey % 5 <> 1 AND p_partkey % 3 <> 0)"
 
 
 _SAME = " AND ".join(f"p.{c} IS NOT DISTINCT FROM c.{c}" for c in ("symlink_target", "size", "hash", "chunkhashes"))
@@ -118,12 +118,12 @@ def apply_plainly(spark, d):
     return merge.apply_plainly(t.mixed_parent(spark, d), t.mixed_current(spark, d)).select("path", "hash", "size")
 
 
-@query(f"""WITH p AS ({_PART_DIRS}7 = 0), c AS ({_PART_DIRS}5 = 1), gone AS (SELECT path FROM p EXCEPT SELECT path FROM c)
+@query(f"""WITH p AS ({_PART_DIRS}7 <> 0), c AS ({_PART_DIRS}5 <> 1), gone AS (SELECT path FROM p EXCEPT SELECT path FROM c)
     SELECT path, false AS deleted FROM (SELECT path FROM c EXCEPT SELECT path FROM p) UNION ALL
     SELECT path, true FROM gone WHERE NOT EXISTS (SELECT 1 FROM {_PART_FILES} f WHERE starts_with(f.path, gone.path) AND f.path <> gone.path)""")
 def diff_dirs(spark, d):
-    below = t.read(spark, d, "part").where("p_partkey % 5 = 3").select(F.concat_ws("/", "p_type", "p_brand", "p_name").alias("path"))
-    return diff.diff_directories(_dirs(spark, d, "p_partkey % 7 = 0"), _dirs(spark, d, "p_partkey % 5 = 1"), below)
+    below = t.read(spark, d, "part").where("p_partkey % 5 <> 1 AND p_partkey % 3 <> 0").select(F.concat_ws("/", "p_type", "p_brand", "p_name").alias("path"))
+    return diff.diff_directories(_dirs(spark, d, "p_partkey % 7 <> 0"), _dirs(spark, d, "p_partkey % 5 <> 1"), below)
 
 
 # Sequences -----------------------------------------------------------------------------------------------------------
