@@ -78,11 +78,11 @@ def diff_hash_mode(spark, d):
 
 def _dirs(spark, d, keep):
     rows = t.read(spark, d, "part").where(keep)
-    return rows.select(F.concat_ws("/", "p_type", "p_brand").alias("path")).distinct()
+    return rows.select(F.concat_ws("/", "p_type", "p_brand", F.col("p_size").cast("string")).alias("path")).distinct()
 
 
-_PART_DIRS = "SELECT DISTINCT p_type || '/' || p_brand AS path FROM part WHERE p_partkey % "
-_PART_FILES = "(SELECT p_type || '/' || p_brand || '/' || p_name AS path FROM part WHERE p_partkey % 5 <> 1 AND p_partkey % 3 <> 0)"
+_PART_DIRS = "SELECT DISTINCT p_type || '/' || p_brand || '/' || p_size AS path FROM part WHERE p_partkey % "
+_PART_FILES = "(SELECT p_type || '/' || p_brand || '/' || p_size || '/' || p_name AS path FROM part WHERE p_partkey % 5 <> 1 AND p_partkey % 3 <> 0)"
 
 
 _SAME = " AND ".join(f"p.{c} IS NOT DISTINCT FROM c.{c}" for c in ("symlink_target", "size", "hash", "chunkhashes"))
@@ -122,7 +122,7 @@ def apply_plainly(spark, d):
     SELECT path, false AS deleted FROM (SELECT path FROM c EXCEPT SELECT path FROM p) UNION ALL
     SELECT path, true FROM gone WHERE NOT EXISTS (SELECT 1 FROM {_PART_FILES} f WHERE starts_with(f.path, gone.path) AND f.path <> gone.path)""")
 def diff_dirs(spark, d):
-    below = t.read(spark, d, "part").where("p_partkey % 5 <> 1 AND p_partkey % 3 <> 0").select(F.concat_ws("/", "p_type", "p_brand", "p_name").alias("path"))
+    below = t.read(spark, d, "part").where("p_partkey % 5 <> 1 AND p_partkey % 3 <> 0").select(F.concat_ws("/", "p_type", "p_brand", F.col("p_size").cast("string"), "p_name").alias("path"))
     return diff.diff_directories(_dirs(spark, d, "p_partkey % 7 <> 0"), _dirs(spark, d, "p_partkey % 5 <> 1"), below)
 
 
