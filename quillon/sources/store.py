@@ -1,13 +1,15 @@
 """A store of content by its hash, in a folder of any kind that pyarrow.fs knows: `<folder>/<hash>.<algorithm>`.
 
 Objects are written and read where their rows are. An object is written under another name and moved, so that a lost or repeated task leaves
-whole objects only; one that is there with the same size is not written again.
+whole objects only; one that is there with the same size is not written again. What is not whole yet stands in hidden folders, one a task:
+tasks that made their files in the folder of the objects would wait for each other.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,16 +62,15 @@ def publish(manifests: DataFrame, folder: str) -> DataFrame:
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = open_folder(folder)
-        for batch in batches:
-            hashes, sizes = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = text.encode()
-                parent, _, name = f"{at}/{key}".rpartition("/")
-                fs.create_dir(parent, recursive=True)
-                _write(fs, parent, name, iter([data]))
-                hashes.append(xxhash.xxh3_128_hexdigest(data))
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.string()), pa.array(sizes, pa.int64())], names=["key", "hash", "size"])
+        with _unfinished(fs, at) as own:
+            for batch in batches:
+                hashes, sizes = [], []
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    data = text.encode()
+                    fs.create_dir(f"{at}/{key}".rpartition("/")[0], recursive=True)
+                    sizes.append(_write(fs, own, f"{at}/{key}", iter([data])))
+                    hashes.append(xxhash.xxh3_128_hexdigest(data))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.string()), pa.array(sizes, pa.int64())], names=["key", "hash", "size"])
 
     return manifests.select("key", "json").mapInArrow(written, "key string, hash string, size long")
 
@@ -79,36 +80,67 @@ def _size(fs, path: str) -> int | None:
     return info.size if info.is_file else None
 
 
-def _write(fs, folder: str, name: str, pieces: Iterator[bytes]) -> None:
-    attempt = f"{folder}/.{name}.{uuid.uuid4().hex}"
+@contextmanager
+def _unfinished(fs, folder: str) -> Iterator[str]:
+    """A hidden folder below the folder, for a task's files that are not whole yet."""
+    own = f"{folder}/.{uuid.uuid4().hex}"
+    fs.create_dir(own, recursive=True)
+    try:
+        yield own
+    finally:
+        fs.delete_dir(own)
+
+
+def _write(fs, own: str, path: str, pieces: Iterator[bytes]) -> int:
+    """Bytes of a file that is written in `own`, a folder of the task's, and moved."""
+    attempt, size = f"{own}/.{uuid.uuid4().hex}", 0
     with fs.open_output_stream(attempt, compression=None) as f:
         for data in pieces:
-            f.write(data)
-    fs.move(attempt, f"{folder}/{name}")
+            size += f.write(data)
+    fs.move(attempt, path)
+    return size
 
 
-def put(contents: DataFrame, folder: str, algorithm: str = ALGORITHM) -> DataFrame:
-    """Store (content): (hash, size, written) of the distinct contents. Equal contents of a task are written once, of several tasks by the first."""
-    import xxhash
+def put_rows(rows: DataFrame, folder: str, algorithm: str = ALGORITHM) -> DataFrame:
+    """Store each row's content: the rows with (hash, size, written) in its place, null where it is null. Contents go to the tasks once.
+
+    Written: not there before. Equal contents of a task are written once, of several tasks by the first.
+    """
+    rest = [c for c in rows.columns if c != "content"]
+    out = {"hash": pa.string(), "size": pa.int64(), "written": pa.bool_()}
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         fs, at = open_folder(folder)
-        fs.create_dir(at, recursive=True)
-        for batch in batches:
-            out = {}
-            for i in range(batch.num_rows):
-                data = batch.column(0)[i].as_py()
-                if data is None:
-                    continue
-                digest = xxhash.xxh3_128_hexdigest(data)
-                if digest not in out:
-                    new = _size(fs, f"{at}/{digest}.{algorithm}") != len(data)
+        with _unfinished(fs, at) as own:
+            for batch in batches:
+                kept, contents = [pa.array(c.to_pylist(), c.type) for c in batch.columns[:-1]], batch.column(len(rest))
+                del batch  # whose one buffer has all columns: it is not held while the next comes
+                found, done = [], set()
+                for content in contents:
+                    if not content.is_valid:
+                        found.append((None, None, None))
+                        continue
+                    data = memoryview(content.as_buffer())
+                    digest = xxhash.xxh3_128_hexdigest(data)
+                    new = digest not in done and _size(fs, f"{at}/{digest}.{algorithm}") != len(data)
                     if new:
-                        _write(fs, at, f"{digest}.{algorithm}", iter([data]))
-                    out[digest] = (len(data), new)
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([s for s, _ in out.values()], pa.int64()), pa.array([n for _, n in out.values()], pa.bool_())], names=["hash", "size", "written"])
+                        _write(fs, own, f"{at}/{digest}.{algorithm}", iter([data]))
+                    done.add(digest)
+                    found.append((digest, len(data), new))
+                    del data
+                del contents, content
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array([x[i] for x in found], kind) for i, kind in enumerate(out.values())]], names=[*rest, *out])
+
+    schema = rows.select(*rest).selectExpr("*", "CAST(NULL AS STRING) AS hash", "CAST(NULL AS LONG) AS size", "CAST(NULL AS BOOLEAN) AS written").schema
+    return rows.select(*rest, "content").mapInArrow(stored, schema)
+
 
-    return contents.select("content").mapInArrow(stored, "hash string, size long, written boolean")
+def put(contents: DataFrame, folder: str, algorithm: str = ALGORITHM) -> DataFrame:
+    """Store (content): (hash, size, written) of the distinct contents; written: by one of the rows."""
+    stored = put_rows(contents.select("content"), folder, algorithm).where("hash IS NOT NULL")
+    return stored.groupBy("hash", "size").agg(F.max("written").alias("written"))
 
 
 def upload(plan: DataFrame, root: str, folder: str, algorithm: str = ALGORITHM) -> DataFrame:
@@ -119,7 +151,6 @@ def upload(plan: DataFrame, root: str, folder: str, algorithm: str = ALGORITHM)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = open_folder(folder)
-        fs.create_dir(at, recursive=True)
 
         def pieces(path: str, offset: int, length: int) -> Iterator[bytes]:
             with open(f"{plain(root)}/{path}", "rb") as f:
@@ -131,14 +162,15 @@ def upload(plan: DataFrame, root: str, folder: str, algorithm: str = ALGORITHM)
                     length -= len(data)
                     yield data
 
-        for batch in batches:
-            written = []
-            for path, offset, length, digest in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length", "hash")), strict=True):
-                new = _size(fs, f"{at}/{digest}.{algorithm}") != length
-                if new:
-                    _write(fs, at, f"{digest}.{algorithm}", pieces(path, offset, length))
-                written.append(new)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("index"), batch.column("hash"), pa.array(written, pa.bool_())], names=["path", "index", "hash", "written"])
+        with _unfinished(fs, at) as own:
+            for batch in batches:
+                written = []
+                for path, offset, length, digest in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length", "hash")), strict=True):
+                    new = _size(fs, f"{at}/{digest}.{algorithm}") != length
+                    if new:
+                        _write(fs, own, f"{at}/{digest}.{algorithm}", pieces(path, offset, length))
+                    written.append(new)
+                yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("index"), batch.column("hash"), pa.array(written, pa.bool_())], names=["path", "index", "hash", "written"])
 
     return plan.where("action = 'upload'").select("path", "index", "offset", "length", "hash").mapInArrow(sent, "path string, index long, hash string, written boolean")
 
@@ -152,11 +184,14 @@ def retrieve(asked: DataFrame, folder: str, algorithm: str = ALGORITHM) -> DataF
         for batch in batches:
             found = []
             for digest, offset, length in zip(*(batch.column(c).to_pylist() for c in ("hash", "offset", "length")), strict=True):
-                name = f"{at}/{digest}.{algorithm}"
-                if digest is None or _size(fs, name) is None:
+                try:
+                    f = digest and fs.open_input_file(f"{at}/{digest}.{algorithm}")
+                except FileNotFoundError:
+                    f = None
+                if not f:
                     found.append(None)
                     continue
-                with fs.open_input_file(name) as f:
+                with f:
                     f.seek(min(offset or 0, f.size()))
                     found.append(f.read() if length is None else f.read(length))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "content"])
@@ -180,14 +215,17 @@ def download(parts: DataFrame, folder: str, to: str, algorithm: str = ALGORITHM)
                     while data := f.read(STEP):
                         yield data
 
-        for batch in batches:
-            sizes = []
-            for target, digests in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parent, _, name = f"{base}/{target}".rpartition("/")
-                out.create_dir(parent, recursive=True)
-                _write(out, parent, name, pieces(digests))
-                sizes.append(_size(out, f"{parent}/{name}"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["target", "size"])
+        made_folder = ""
+        with _unfinished(out, base) as own:
+            for batch in batches:
+                sizes = []
+                for target, digests in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    parent = f"{base}/{target}".rpartition("/")[0]
+                    if parent != made_folder:
+                        out.create_dir(parent, recursive=True)
+                        made_folder = parent
+                    sizes.append(_write(out, own, f"{base}/{target}", pieces(digests)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["target", "size"])
 
     listed = F.transform(F.sort_array(F.collect_list(F.struct("index", "hash"))), lambda x: x["hash"])
     return parts.groupBy("target").agg(listed.alias("hashes")).mapInArrow(made, "target string, size long")

@@ -116,6 +116,38 @@ def test_store_round_trip(spark, tmp_path):
         store.download(spark.createDataFrame([("x", 0, "f" * 32)], "target string, index long, hash string"), folder, to).collect()
 
 
+def test_rows_are_stored_in_one_pass(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    rows = spark.createDataFrame([(1, bytearray(b"abc"), "x"), (2, None, "y"), (3, bytearray(b""), None), (4, bytearray(b"abc"), "z")], "k long, content binary, v string").coalesce(1)
+    written = spark.createDataFrame(store.put_rows(rows, folder).collect(), "k long, v string, hash string, size long, written boolean")
+    abc, none = xxhash.xxh3_128_hexdigest(b"abc"), xxhash.xxh3_128_hexdigest(b"")
+    assert [tuple(r) for r in written.orderBy("k").collect()] == [(1, "x", abc, 3, True), (2, "y", None, None, None), (3, None, none, 0, True), (4, "z", abc, 3, False)]
+    assert {r.written for r in store.put_rows(rows, folder).collect()} == {False, None}
+    assert sorted(os.listdir(folder)) == sorted(f"{h}.xxh128" for h in (abc, none))
+
+
+def test_unfinished_objects_stand_apart(spark, tmp_path):
+    """Not in the folder of the objects, where all tasks would wait for each other, and in no listing."""
+    from pyarrow.fs import LocalFileSystem
+
+    with store._unfinished(LocalFileSystem(), str(tmp_path)) as own:
+        assert os.path.dirname(own) == str(tmp_path) and own != str(tmp_path)
+        with open(f"{own}/.half", "wb") as f:
+            f.write(b"ha")
+        (tmp_path / "done").write_bytes(b"x")
+        listed = [r.key for r in store.objects(spark, str(tmp_path)).collect()]
+    assert listed == ["done"] and os.listdir(tmp_path) == ["done"]
+
+
+@pytest.mark.parametrize("name", ["store_ranges", "scan_snapshot", "scan_status"])
+def test_texts_go_to_python_once(spark, name):
+    """The queries on stores hash contents as they write them, and read no texts again."""
+    from quillon.plans import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "documents.parquet" not in plan
+
+
 def test_upload_of_ranges(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/f").write_bytes(b"0123456789")
