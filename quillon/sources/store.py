@@ -7,9 +7,11 @@ tasks that made their files in the folder of the objects would wait for each oth
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,27 +21,74 @@ from quillon.sources.shared import open_folder, plain
 
 ALGORITHM = "xxh128"
 STEP = 1 << 22
+#: Keys of a listing that a task holds at a time.
+LISTED = 10_000
+
+
+def _local_files(top: str) -> Iterator[tuple[str, os.DirEntry]]:
+    """(folder below top with its slash, entry) of a local folder's files, one after the other, hidden ones and folders left out."""
+    folders = [""]
+    while folders:
+        at = folders.pop()
+        try:
+            entries = os.scandir(f"{top}/{at}")
+        except FileNotFoundError:
+            continue
+        with entries:
+            for e in entries:
+                if e.name.startswith("."):
+                    continue
+                if e.is_dir():
+                    folders.append(f"{at}{e.name}/")
+                elif e.is_file():
+                    yield at, e
+
+
+def _keys(fs, at: str, prefix: str) -> Iterator[list[tuple]]:
+    """(key, size, last modified in seconds) of the files below a prefix, in lists of LISTED; of local ones only the key."""
+    from pyarrow.fs import FileSelector, FileType, LocalFileSystem
+
+    top = f"{at}/{prefix}".rstrip("/")
+    if isinstance(fs, LocalFileSystem):
+        names = ((f"{prefix}/{folder}{e.name}".lstrip("/"), None, None) for folder, e in _local_files(top))
+    else:
+        found = fs.get_file_info(FileSelector(top, recursive=True, allow_not_found=True))
+        names = ((f.path[len(at) + 1 :], f.size, int(f.mtime.timestamp()) if f.mtime else None) for f in found if f.type == FileType.File and "/." not in f"/{f.path[len(at) + 1 :]}")
+    while some := list(islice(names, LISTED)):
+        yield some
 
 
 def objects(spark: SparkSession, folder: str, prefixes: tuple[str, ...] = ("",)) -> DataFrame:
     """(key, size, last_modified in seconds) of the files below a folder, empty ones too; contents are not read.
 
-    Each of the prefixes, folders below it, is listed by a task of its own. Files that are being written are left out.
+    Each of the prefixes, folders below it, is listed by a task of its own. A local folder is listed by names, some at a time, which are then
+    dealt over tasks that look at the files: those that have gone by then are left out. So are files that are being written.
     """
+    kinds = {"key": pa.string(), "size": pa.int64(), "last_modified": pa.int64()}
+    schema = "key string, size long, last_modified long"
+    as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSelector, FileType
-
         fs, at = open_folder(folder)
         for batch in batches:
             for prefix in batch.column(0).to_pylist():
-                top = f"{at}/{prefix}".rstrip("/")
-                found = [f for f in fs.get_file_info(FileSelector(top, recursive=True, allow_not_found=True)) if f.type == FileType.File and not f.base_name.startswith(".")]
-                columns = [pa.array([f.path[len(at) + 1 :] for f in found], pa.string()), pa.array([f.size for f in found], pa.int64()), pa.array([int(f.mtime.timestamp()) if f.mtime else None for f in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "last_modified"])
+                yield from map(as_batch, _keys(fs, at, prefix))
+
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, at = open_folder(folder)
+        for batch in batches:
+            rows = []
+            for key, size, modified in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    s = os.stat(f"{at}/{key}") if size is None else None
+                except FileNotFoundError:
+                    continue
+                rows.append((key, s.st_size, int(s.st_mtime)) if s else (key, size, modified))
+            yield as_batch(rows)
 
-    tops = spark.createDataFrame([(p.strip("/"),) for p in prefixes], "prefix string").repartition(len(prefixes))
-    return tops.mapInArrow(listed, "key string, size long, last_modified long")
+    tops = spark.range(0, len(prefixes), 1, len(prefixes)).select(F.get(F.array(*[F.lit(p.strip("/")) for p in prefixes]), F.col("id")).alias("prefix"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return tops.mapInArrow(listed, schema).repartition(n, "key").mapInArrow(looked, schema)
 
 
 def head(keys: DataFrame, listing: DataFrame) -> DataFrame:

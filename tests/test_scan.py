@@ -139,6 +139,23 @@ def test_unfinished_objects_stand_apart(spark, tmp_path):
     assert listed == ["done"] and os.listdir(tmp_path) == ["done"]
 
 
+def test_a_listing_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """Names are listed some at a time, and looked at by several tasks."""
+    from pyarrow.fs import LocalFileSystem
+
+    names = {f"{folder}{i}" for folder in ("", "a/", "a/b/", "c/") for i in range(10)}
+    for name in names | {".hidden", "a/.hidden", ".folder/x"}:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    rows = store.objects(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.key, r["size"]) for r in rows} == {(n, len(n)) for n in names} and len(rows) == len(names)
+    assert len({r.task for r in rows}) > 1 and all(r.last_modified == int(os.stat(tmp_path / r.key).st_mtime) for r in rows)
+    assert {r.key for r in store.objects(spark, str(tmp_path), ("a/b", "/c/", "none")).collect()} == {n for n in names if n.startswith(("a/b", "c"))}
+    monkeypatch.setattr(store, "LISTED", 3)
+    parts = list(store._keys(LocalFileSystem(), str(tmp_path), ""))
+    assert max(map(len, parts)) == 3 and {k for part in parts for k, _, _ in part} == names
+
+
 @pytest.mark.parametrize("name", ["store_ranges", "scan_snapshot", "scan_status"])
 def test_texts_go_to_python_once(spark, name):
     """The queries on stores hash contents as they write them, and read no texts again."""
