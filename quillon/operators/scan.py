@@ -35,7 +35,7 @@ def links(entries: DataFrame, policy: str = "exclude_escaping") -> DataFrame:
 def chunk_hashes(files: DataFrame, root: str, chunk: int = CHUNK_SIZE) -> DataFrame:
     """(path, hash, chunkhashes, size, mtime, mode) of (path, size, mtime, mode): the XXH3-128 of a file, or those of its chunks if it has several.
 
-    A file that has gone, or has grown shorter than its size says, raises.
+    Files and chunks are dealt over tasks before they are read: a walk has the files of one folder together. A file that has gone, or has grown shorter than its size says, raises.
     """
     import xxhash
 
@@ -58,7 +58,8 @@ def chunk_hashes(files: DataFrame, root: str, chunk: int = CHUNK_SIZE) -> DataFr
     whole = F.array(F.struct(F.lit(0).cast("long").alias("index"), F.lit(0).cast("long").alias("offset"), F.col("size").alias("length")))
     parts = F.when(needs_chunks(F.col("size"), chunk), chunk_list(F.col("size"), chunk)).otherwise(whole)
     rows = files.select("path", "size", "mtime", "mode", F.explode(parts).alias("c")).select("path", "size", "mtime", "mode", "c.*")
-    each = rows.mapInArrow(hashed, "path string, index long, size long, mtime long, mode int, digest string")
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.repartition(n, "path", "index").mapInArrow(hashed, "path string, index long, size long, mtime long, mode int, digest string")
     listed = F.transform(F.sort_array(F.collect_list(F.struct("index", "digest"))), lambda x: x["digest"])  # of one file's chunks
     found = each.groupBy("path", "size", "mtime", "mode").agg(listed.alias("_all"))
     many = needs_chunks(F.col("size"), chunk)

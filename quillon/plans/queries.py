@@ -936,8 +936,7 @@ def sorted_paths(spark, d):
 def _stored(spark, d, folder):
     """Documents in a store: (doc_id, path, hash, size, written), by one pass over the texts."""
     rows = t.read(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.encode("text", "UTF-8").alias("content"))
-    store.put_rows(rows, folder).write.parquet(f"{folder}.written")
-    return spark.read.parquet(f"{folder}.written")
+    return _once(store.put_rows(rows, folder), f"{folder}.written")
 
 
 @query("SELECT count(DISTINCT text) AS n, sum(octet_length(encode(text)))::BIGINT AS bytes FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)")
@@ -964,11 +963,17 @@ def _tree(spark, d):
     return to, rows
 
 
+def _once(rows, path):
+    """Rows written to a folder and read from it: what uses them several times does not make them anew."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 @query("SELECT path, octet_length(encode(text)) AS size, true AS same, false AS runnable FROM (SELECT *, source || '/' || lang || '/' || doc_id || '.txt' AS path FROM documents)")
 def scan_snapshot(spark, d):
     """A folder's walk, hashed, against the hashes of what was written there."""
     to, rows = _tree(spark, d)
-    files, _ = scan.snapshot(directory.walk(spark, to, 2), to)
+    files, _ = scan.snapshot(_once(directory.walk(spark, to, 2), f"{to}.walk"), to)
     known = rows.select(F.col("target").alias("path"), F.col("hash").alias("_hash"))
     return files.join(known, "path").select("path", "size", (F.col("hash") == F.col("_hash")).alias("same"), "runnable")
 
@@ -978,8 +983,9 @@ def scan_snapshot(spark, d):
 def scan_status(spark, d):
     """A folder's walk against a manifest that lacks some files, has others with another content and one that is gone."""
     to, rows = _tree(spark, d)
-    entries = directory.walk(spark, to)
+    entries = _once(directory.walk(spark, to), f"{to}.walk")
     now, dirs = scan.snapshot(entries, to)
+    now = _once(now, f"{to}.now")
     k = F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("long") % 4
     known = now.where(k != 0).withColumn("hash", F.when((k == 1) & (F.col("size") > 0), "other").otherwise(F.col("hash")))
     gone = now.limit(1).withColumn("path", F.lit("gone"))

@@ -66,12 +66,21 @@ class DirectoryReader(DataSourceReader):
             yield from (e for e in (entry(self.root, p) for p in partition.tops) if e)
             return
         for top in partition.tops:
-            for folder, names, files in os.walk(os.path.join(self.root, top)):
-                base = os.path.relpath(folder, self.root).replace(os.sep, "/")
-                for name in [*names, *files]:
-                    e = entry(self.root, f"{base}/{name}")
-                    if e:
-                        yield e
+            folders = [top]
+            while folders:
+                base = folders.pop()
+                try:
+                    names = os.scandir(os.path.join(self.root, base))
+                except OSError:
+                    continue
+                with names:
+                    for e in names:  # one at a time: a folder may have any number
+                        path = f"{base}/{e.name}".lstrip("/")
+                        if e.is_dir(follow_symlinks=False):
+                            folders.append(path)
+                        found = entry(self.root, path)
+                        if found:
+                            yield found
 
 
 class DirectoryTree(DataSource):

@@ -72,6 +72,34 @@ def test_listed_paths(spark, tree):
     assert got == {("a/one", "a/one"), ("gone", "gone"), ("a/link", "a/link"), ("a/one", "a"), ("a/deep/er/two", "a"), ("a/é ü.txt", "a"), ("a/link", "a"), ("a/out", "a")}
 
 
+def test_files_of_one_folder_are_hashed_by_several_tasks(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    for i in range(40):
+        (tmp_path / f"one/{i}").write_bytes(str(i).encode())
+    files = directory.walk(spark, str(tmp_path)).where("NOT is_dir").select("path", "size", "mtime", "mode")
+    rows = scan.chunk_hashes(files, str(tmp_path)).collect()
+    assert {r.path: r.hash for r in rows} == {f"one/{i}": xxhash.xxh3_128_hexdigest(str(i).encode()) for i in range(40)}
+    plan = scan.chunk_hashes(files, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan[plan.index("MapInArrow") :]
+
+
+def test_a_walk_lists_names_one_at_a_time(tmp_path, monkeypatch):
+    for i in range(20):
+        (tmp_path / f"{i}").mkdir()
+    looked = []
+    monkeypatch.setattr(directory, "entry", lambda root, path: looked.append(path) or (path,))
+    rows = directory.DirectoryReader({"path": str(tmp_path)}).read(directory.Part([""], True))
+    (tmp_path / next(rows)[0].lstrip("/") / "below").touch()
+    assert len(looked) == 1 and len(list(rows)) == 20
+
+
+@pytest.mark.parametrize("name", ["scan_snapshot", "scan_status"])
+def test_folders_are_walked_once(spark, name):
+    from quillon.plans import queries
+
+    assert "directory_tree" not in queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
 def test_changes_of_a_folder(spark, tree):
     entries = directory.walk(spark, tree)
     files, dirs = scan.snapshot(entries, tree)
