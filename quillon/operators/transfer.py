@@ -138,5 +138,10 @@ def upload_strategy(size: Column, chunk: int = CHUNK_SIZE) -> Column:
     return F.when(needs_chunks(size, chunk), "chunked").otherwise("single")
 
 
+def is_large(size: Column, chunk: int = CHUNK_SIZE) -> Column:
+    """Whether a file of that size is one of large_files."""
+    return needs_chunks(size, chunk)
+
+
 def large_files(files: DataFrame, chunk: int = CHUNK_SIZE) -> DataFrame:
-    return files.where(needs_chunks(F.col("size"), chunk))
+    return files.where(is_large(F.col("size"), chunk))

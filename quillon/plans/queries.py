@@ -470,9 +470,7 @@ def transfer_summary(spark, d):
 
 @query(f"SELECT path, size > 268435456 AS is_large, CASE WHEN size > 268435456 THEN 'chunked' ELSE 'single' END AS strategy, CASE WHEN size > 268435456 THEN md5(h || ':' || (size - 1) // 268435456) ELSE md5(h::VARCHAR) END AS last_block FROM {t.LARGE}")
 def upload_strategies(spark, d):
-    f = t.large_files(spark, d)
-    large = transfer.large_files(f).select("path", F.lit(True).alias("is_large"))
-    return f.join(large, "path", "left").select("path", F.coalesce("is_large", F.lit(False)).alias("is_large"), transfer.upload_strategy(F.col("size")).alias("strategy"), chunks.block_key(F.col("hash"), F.col("chunkhashes"), F.col("size") - 1).alias("last_block"))
+    return t.large_files(spark, d).select("path", transfer.is_large(F.col("size")).alias("is_large"), transfer.upload_strategy(F.col("size")).alias("strategy"), chunks.block_key(F.col("hash"), F.col("chunkhashes"), F.col("size") - 1).alias("last_block"))
 
 
 @query(f"SELECT CASE WHEN size < 83886080 THEN 'small' ELSE 'large' END AS class, count(*) AS n, sum(size)::BIGINT AS bytes FROM {t.LARGE} GROUP BY 1")

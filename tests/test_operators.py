@@ -81,3 +81,15 @@ def test_common_path_reads_all_parts(spark, tmp_path):
 
     spark.createDataFrame([(1, "T", "B1"), (5000, "T", "B2")], "p_partkey long, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     assert [tuple(r) for r in queries.common_path(spark, str(tmp_path)).collect()] == [("T", "T/")]
+
+
+def test_strategies_need_no_shuffle(spark):
+    """A file's strategy depends on its size alone."""
+    from quillon.operators import transfer
+    from quillon.plans import queries
+
+    plan = queries.upload_strategies(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    sizes = spark.createDataFrame([("a", 268435456), ("b", 268435457), ("c", None)], "path string, size long")
+    assert {r.path for r in transfer.large_files(sizes).collect()} == {"b"}
+    assert {r.path: r.large for r in sizes.select("path", transfer.is_large(F.col("size")).alias("large")).collect()} == {"a": False, "b": True, "c": None}
