@@ -21,7 +21,8 @@ def uploads(files: DataFrame, root: str, prefix: str, chunk: int = CHUNK_SIZE) -
     many = F.coalesce(F.col("chunkhashes").isNotNull() | F.when(F.col("hash").isNotNull(), F.lit(False)), nothing)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("index"), F.lit(0).cast("long").alias("offset"), F.col("size").alias("length")))
     parts = F.when(many, F.arrays_zip(chunk_list(F.col("size"), chunk).alias("c"), F.col("chunkhashes").alias("h"))).otherwise(F.arrays_zip(whole.alias("c"), F.array("hash").alias("h")))
-    e = rows.select("path", F.explode(F.filter(parts, lambda p: p["h"].isNotNull() & p["c"].isNotNull())).alias("p"))
+    # Outer, as the optimizer lets a plain explode evaluate its array a second time, in a filter that looks whether it is empty.
+    e = rows.select("path", F.explode_outer(parts).alias("p")).where("p.h IS NOT NULL AND p.c IS NOT NULL")
     return e.select("path", F.col("p.c.index").alias("index"), F.col("p.c.offset").alias("offset"), F.col("p.c.length").alias("length"), F.col("p.h").alias("hash")).withColumn("key", content_key(root, prefix, F.col("hash")))
 
 

@@ -93,3 +93,13 @@ def test_strategies_need_no_shuffle(spark):
     sizes = spark.createDataFrame([("a", 268435456), ("b", 268435457), ("c", None)], "path string, size long")
     assert {r.path for r in transfer.large_files(sizes).collect()} == {"b"}
     assert {r.path: r.large for r in sizes.select("path", transfer.is_large(F.col("size")).alias("large")).collect()} == {"a": False, "b": True, "c": None}
+
+
+def test_parts_are_made_once(spark):
+    """No filter makes the array of parts before it is exploded; files without parts have no rows."""
+    from quillon.operators import transfer
+
+    rows = [file("one"), file("two", None, 300_000_000, chunks=["a", "b"]), file("short", None, 300_000_000, chunks=["a"]), file("none", None, 300_000_000, chunks=[]), file("gap", None, 300_000_000, chunks=[None, "b"])]
+    parts = transfer.uploads(spark.createDataFrame(rows, FILE), "r", "Data")
+    assert {(r.path, r.index, r.hash) for r in parts.collect()} == {("one", 0, "h"), ("two", 0, "a"), ("two", 1, "b"), ("short", 0, "a"), ("gap", 1, "b")}
+    assert "size(" not in parts._jdf.queryExecution().optimizedPlan().toString()
