@@ -101,5 +101,5 @@ def test_parts_are_made_once(spark):
 
     rows = [file("one"), file("two", None, 300_000_000, chunks=["a", "b"]), file("short", None, 300_000_000, chunks=["a"]), file("none", None, 300_000_000, chunks=[]), file("gap", None, 300_000_000, chunks=[None, "b"])]
     parts = transfer.uploads(spark.createDataFrame(rows, FILE), "r", "Data")
-    assert {(r.path, r.index, r.hash) for r in parts.collect()} == {("one", 0, "h"), ("two", 0, "a"), ("two", 1, "b"), ("short", 0, "a"), ("gap", 1, "b")}
+    assert {(r.path, r["index"], r.hash) for r in parts.collect()} == {("one", 0, "h"), ("two", 0, "a"), ("two", 1, "b"), ("short", 0, "a"), ("gap", 1, "b")}
     assert "size(" not in parts._jdf.queryExecution().optimizedPlan().toString()
