@@ -277,7 +277,8 @@ def download(parts: DataFrame, folder: str, to: str, algorithm: str = ALGORITHM)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["target", "size"])
 
     listed = F.transform(F.sort_array(F.collect_list(F.struct("index", "hash"))), lambda x: x["hash"])
-    return parts.groupBy("target").agg(listed.alias("hashes")).mapInArrow(made, "target string, size long")
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a list is small, its bytes are not: few rows are not to be one task
+    return parts.repartition(n, "target").groupBy("target").agg(listed.alias("hashes")).mapInArrow(made, "target string, size long")
 
 
 def stored_manifests(spark: SparkSession, folder: str, roots: DataFrame, strict: bool = True) -> DataFrame:

@@ -167,6 +167,15 @@ def test_unfinished_objects_stand_apart(spark, tmp_path):
     assert listed == ["done"] and os.listdir(tmp_path) == ["done"]
 
 
+def test_downloads_are_dealt_over_tasks(spark, tmp_path):
+    folder, to = str(tmp_path / "store"), str(tmp_path / "out")
+    stored = store.put_rows(spark.range(40).select("id", F.encode(F.col("id").cast("string"), "UTF-8").alias("content")), folder).collect()
+    parts = spark.createDataFrame([(f"one/{r.id}", 0, r.hash) for r in stored], "target string, index long, hash string")
+    rows = store.download(parts, folder, to).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows}) > 1 and {r.target: r["size"] for r in rows} == {f"one/{i}": len(str(i)) for i in range(40)}
+    assert (tmp_path / "out/one/7").read_bytes() == b"7" and os.listdir(to) == ["one"]
+
+
 def test_a_listing_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
     """Names are listed some at a time, and looked at by several tasks."""
     from pyarrow.fs import LocalFileSystem
